@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, copies, groups, packing, terms
+from . import bpe, clusters, copies, groups, neighbours, overlap, packing, terms, vectors
 from . import common as C
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,3 +161,63 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = p8_containers(spark, sf_dir).where("container_id is not null")
     each = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
     return each.agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.round(F.sum("used") / (F.count("*") * 2048), 6).alias("fill"))
+
+
+# 1: clusters of mutually similar vectors
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.usable(C.table(spark, sf_dir, "words_model"), "word_id", "embeddings")
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_members(_vectors(spark, sf_dir)).withColumnRenamed("id", "word_id")
+
+
+@query
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_report(_vectors(spark, sf_dir))
+
+
+# 2: the same record in several splits
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triplets(spark, sf_dir).withColumnRenamed("triplet_id", "id")
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = overlap.overlapping_pairs(_records(spark, sf_dir))
+    return pairs.select(F.least("train_id", "other_id").alias("id_a"), F.greatest("train_id", "other_id").alias("id_b"))
+
+
+@query
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split and source: records, those with an overlap in train, and the pairs."""
+    rows = C.cut(_records(spark, sf_dir))
+    pairs = overlap.overlapping_pairs(rows).groupBy(F.col("other_id").alias("id")).agg(F.count("*").alias("pairs"))
+    held = overlap.split_name(rows.select("id", "split", "source")).where(F.col("split").isin(*overlap.EVALUATION)).join(pairs, "id", "left")
+    return held.groupBy("split", "source").agg(F.count("*").alias("n_rows"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+
+
+@query
+def p2_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each held-out record's words that stand in chunks which train has too."""
+    got = overlap.chunk_overlap(_records(spark, sf_dir))
+    return got.select(F.col("id").alias("triplet_id"), "n_words", "shared", F.round(F.col("shared") / F.col("n_words"), 6).alias("fraction"))
+
+
+# 5: most similar vectors
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neighbours.nearest(_vectors(spark, sf_dir))
+    return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
+@query
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_vectors(spark, sf_dir)).withColumnRenamed("id", "word_id").withColumnRenamed("other", "other_id")
