@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, clusters, copies, groups, neighbours, overlap, packing, terms, vectors
+from . import bpe, clusters, copies, groups, neighbours, overlap, packing, subjects, terms, vectors
 from . import common as C
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,3 +221,31 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_vectors(spark, sf_dir)).withColumnRenamed("id", "word_id").withColumnRenamed("other", "other_id")
+
+
+# 9: subjects of the documents
+
+
+def _subjects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, subjects.Fitted | None]:
+    names = sorted(r["subject"] for r in C.table(spark, sf_dir, "subjects").select("subject").distinct().collect() if r["subject"])  # a fixed list
+    return subjects.fit(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "subject_labels"), names)
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.assigned(*_subjects(spark, sf_dir)).where("4 * about >= sentences").select("doc_id", "subject")
+
+
+@query
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with each subject, its share of all documents with a text, and of all sentences about any subject."""
+    rows = C.cut(subjects.assigned(*_subjects(spark, sf_dir)))
+    n_docs = C.table(spark, sf_dir, "documents").where("text is not null").count()
+    whole = rows.agg(F.sum("about")).first()[0] or 1
+    per = rows.groupBy("subject").agg(F.sum(F.when(F.expr("4 * about >= sentences"), 1).otherwise(0)).alias("docs"), F.sum("about").alias("n_sentences"))
+    return per.select("subject", "docs", F.round(F.col("docs") / max(n_docs, 1), 6).alias("share_of_docs"), F.round(F.col("n_sentences") / whole, 6).alias("share_of_sentences"))
+
+
+@query
+def p9_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.leaf_report(*_subjects(spark, sf_dir))
