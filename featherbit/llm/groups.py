@@ -53,15 +53,13 @@ def related_groups(records: DataFrame) -> DataFrame:
     edges = rows.where("author is not null and k is not null").select(F.col("author").alias("a"), "k").distinct()
     labels = entity_labels(edges)
     by_key = C.cut(edges.join(labels, "a").groupBy("k").agg(F.min("label").alias("kl")))
-    # an author without any anchor is its own group, so only the other rows ask for a label
-    alone = F.coalesce(F.col("author"), F.lit(None).cast("bigint"))
     keyed = rows.where("k is not null")
     sizes = keyed.groupBy("k").agg(F.count("*").alias("n")).join(by_key, "k", "left")
     keyed = C.heavy_join(keyed, C.cut(sizes), "k", "n").withColumn("group_id", F.coalesce("kl", "author"))
     bare = rows.where("k is null")
     own = bare.groupBy(F.col("author").alias("a")).agg(F.count("*").alias("n")).join(labels, "a", "left")
     bare_known = C.heavy_join(bare.where("author is not null").withColumn("a", F.col("author")), C.cut(own.where("a is not null")), "a", "n")
-    bare = bare_known.withColumn("group_id", F.coalesce("label", alone)).select("id", "author", *rest, "k", "group_id").unionByName(bare.where("author is null").withColumn("group_id", F.lit(None).cast("bigint")).select("id", "author", *rest, "k", "group_id"))
+    bare = bare_known.withColumn("group_id", F.coalesce("label", "author")).select("id", "author", *rest, "k", "group_id").unionByName(bare.where("author is null").withColumn("group_id", F.lit(None).cast("bigint")).select("id", "author", *rest, "k", "group_id"))
     every = keyed.select("id", "author", *rest, "k", "group_id").unionByName(bare)
     unit = F.when(F.col("group_id").isNotNull(), F.concat(F.lit("a"), F.col("group_id").cast("string"))).when(F.col("k").isNotNull(), F.concat(F.lit("k"), F.col("k").cast("string"))).otherwise(F.concat(F.lit("r"), F.col("id").cast("string")))
     return every.withColumn("unit", unit)
@@ -71,15 +69,47 @@ def _place(need: dict[str, float], size: float) -> str:
     return max(need, key=lambda s: (need[s] - size if need[s] >= size else (need[s] - size) * 1e6, s))
 
 
+def _by_running_sum(units: DataFrame, need: dict[str, float], buckets: int) -> DataFrame:
+    """units(unit, st, size) to (unit, split, size): in each stratum units stand in hash order, and the running sum of their
+    sizes is cut so that the splits get what they need. A bucket of the hash is the unit of the sort, not a stratum."""
+    spark = units.sparkSession
+    units = units.withColumn("b", F.pmod(F.xxhash64("unit"), F.lit(buckets)))
+    sums = units.groupBy("st", "b").agg(F.sum("size").alias("n")).orderBy("st", "b").collect()  # at most 65 x buckets rows
+    run: dict[str, int] = {}
+    starts = []
+    for r in sums:
+        starts.append((r["st"], r["b"], run.get(r["st"], 0)))
+        run[r["st"]] = run.get(r["st"], 0) + r["n"]
+    left = max(1.0, sum(max(0.0, x) for x in need.values()))
+    names, cuts, carry = list(need), [], dict.fromkeys(need, 0.0)
+    for st, n in sorted(run.items()):  # what rounding to whole rows took from a split is carried on to the next stratum
+        at = 0.0
+        for s in names:
+            carry[s] += max(0.0, need[s]) / left * n
+            upto = at + round(carry[s])
+            carry[s] -= round(carry[s])
+            cuts.append((st, s, at, float(upto) if s != names[-1] else float("inf")))
+            at = float(upto)
+    if not starts:
+        return spark.createDataFrame([], "unit string, split string, size bigint")
+    w = Window.partitionBy("st", "b").orderBy(F.xxhash64("unit", F.lit(7)), "unit").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.broadcast(spark.createDataFrame(starts, "st string, b bigint, start bigint"))
+    at = units.join(known, ["st", "b"]).withColumn("mid", F.col("start") + F.sum("size").over(w) - F.col("size") / 2)
+    cut = F.broadcast(spark.createDataFrame(cuts, "cst string, split string, lo double, hi double"))  # 65 x splits rows
+    inside = (F.col("st") == F.col("cst")) & (F.col("mid") >= F.col("lo")) & (F.col("mid") < F.col("hi"))
+    return at.join(cut, inside).select("unit", "split", "size")
+
+
 def assign_splits(grouped: DataFrame, stratum: str, shares: dict[str, float] | None = None, buckets: int = 256) -> DataFrame:
     """grouped(unit, stratum, ...) to (unit, split, size): whole units, shares of rows as near as may be, strata spread evenly.
 
-    The stratum of a unit is its commonest one (ties: the smallest). Strata beyond the 64 largest share one.
+    The stratum of a unit is its commonest one (ties: the greatest name). Strata beyond the 64 largest share one. One small
+    unit in eight is kept back and placed last, over all strata at once, to make up for what whole units left uneven.
     """
     shares = shares or SHARES
-    cells = grouped.groupBy("unit", stratum).agg(F.count("*").alias("n"))
-    order = F.struct(F.col("n"), F.coalesce(F.col(stratum).cast("string"), F.lit("")))
-    units = C.cut(cells.groupBy("unit").agg(F.sum("n").alias("size"), F.max_by(F.coalesce(F.col(stratum).cast("string"), F.lit("")), order).alias("st")))
+    name = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
+    cells = grouped.groupBy("unit", name.alias("st")).agg(F.count("*").alias("n"))
+    units = C.cut(cells.groupBy("unit").agg(F.sum("n").alias("size"), F.max_by("st", F.struct("n", "st")).alias("st")))
     total = units.agg(F.sum("size")).first()[0] or 0
     large = units.where(F.col("size") > total / 1000).collect()  # fewer than a thousand units
     need = {s: total * p for s, p in shares.items()}
@@ -91,33 +121,13 @@ def assign_splits(grouped: DataFrame, stratum: str, shares: dict[str, float] | N
     small = units.where(F.col("size") <= total / 1000)
     top = [r["st"] for r in small.groupBy("st").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "st").limit(64).collect()]
     small = small.withColumn("st", F.when(F.col("st").isin(top), F.col("st")).otherwise("~")) if top else small
-    small = small.withColumn("b", F.pmod(F.xxhash64("unit"), F.lit(buckets)))
-    sums = small.groupBy("st", "b").agg(F.sum("size").alias("n")).orderBy("st", "b").collect()  # at most 65 x buckets rows
-    before, run, starts = 0, {}, []
-    for r in sums:
-        starts.append((r["st"], r["b"], run.get(r["st"], 0)))
-        run[r["st"]] = run.get(r["st"], 0) + r["n"]
-    left = max(1.0, sum(max(0.0, x) for x in need.values()))
-    want = {s: max(0.0, x) / left for s, x in need.items()}
-    spark = grouped.sparkSession
-    cuts, carry = [], dict.fromkeys(shares, 0.0)
-    for st, n in sorted(run.items()):  # what rounding to whole rows took from a split is carried on to the next stratum
-        at = 0.0
-        for s in shares:
-            carry[s] += want[s] * n
-            upto = at + round(carry[s])
-            carry[s] -= round(carry[s])
-            cuts.append((st, s, float(at), float(upto) if s != list(shares)[-1] else float("inf")))
-            at = upto
-    bucket_starts = F.broadcast(spark.createDataFrame(starts, "st string, b bigint, start bigint")) if starts else None
-    fixed = spark.createDataFrame(placed, "unit string, split string, size bigint")
-    if not starts:
-        return fixed
-    w = Window.partitionBy("st", "b").orderBy(F.xxhash64("unit", F.lit(7)), "unit").rowsBetween(Window.unboundedPreceding, 0)
-    placed_at = small.join(bucket_starts, ["st", "b"]).withColumn("mid", F.col("start") + F.sum("size").over(w) - F.col("size") / 2)
-    cut = F.broadcast(spark.createDataFrame(cuts, "st string, split string, lo double, hi double"))  # 65 x splits rows
-    rest = placed_at.join(cut, (placed_at["st"] == cut["st"]) & (F.col("mid") >= F.col("lo")) & (F.col("mid") < F.col("hi"))).select("unit", "split", "size")
-    return rest.unionByName(fixed)
+    last = F.pmod(F.xxhash64("unit", F.lit(3)), F.lit(8)) == 0
+    first = C.cut(_by_running_sum(small.where(~last), need, buckets))
+    for r in first.groupBy("split").agg(F.sum("size").alias("n")).collect():
+        need[r["split"]] -= r["n"]
+    rest = _by_running_sum(small.where(last).withColumn("st", F.lit("")), need, buckets)
+    fixed = grouped.sparkSession.createDataFrame(placed, "unit string, split string, size bigint")
+    return first.unionByName(rest).unionByName(fixed)
 
 
 def split_rows(grouped: DataFrame, stratum: str, shares: dict[str, float] | None = None) -> DataFrame:
