@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.planning import computed, cut, ship  # noqa: F401
+
 WORD = r"[\p{L}\p{N}]+"
 MARKUP = r"<[^<>]*>|&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);"
 
@@ -15,18 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder, so that lineage ends there and lost executors cost nothing.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one is made.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="featherbit-"))
-    return df.checkpoint(eager=True)
-
-
 def once(df: DataFrame, key: str, cols: list[str], newest: str | None = "loaded_at") -> DataFrame:
     """One row per id: of repeated rows the one loaded last. Rows without id can't be reported and are left out.
 
@@ -65,29 +53,3 @@ def heavy_join(rows: DataFrame, groups: DataFrame, on: str, size: str, share: in
     heavy = groups.where(is_heavy)
     light = rows.join(F.broadcast(heavy.select(on)), on, "left_anti").join(groups.where(~is_heavy), on)
     return light.unionByName(rows.join(F.broadcast(heavy), on).select(*light.columns))
-
-
-def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """``df`` with a column that is evaluated once per row.
-
-    Catalyst merges projections and then evaluates a costly expression anew at each of its uses, inside a lambda even once
-    per element. A generator is a border that it doesn't merge across.
-    """
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application: their Python need not have it on its path."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    import shutil
-    from pathlib import Path
-
-    root = Path(__file__).resolve().parents[2]
-    package = Path(__file__).resolve().parents[1].name
-    sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='featherbit-')}/{package}", "zip", root, package))
-    _shipped.add(sc.applicationId)
