@@ -58,12 +58,5 @@ def with_complement(ids: Column, bits: int) -> Column:
     return F.concat(ids, F.transform(rest, lambda i: i + F.lit(bits)))
 
 
-def packed(ids: Column, bits: int) -> Column:
-    """A set of ids as ceil(bits / 64) words of 64 bits, id i in bit i % 64 of word i // 64."""
-    words = F.sequence(F.lit(0), F.lit(max(0, (bits - 1) // 64)))
-    one = F.lit(1).cast("bigint")
-    return F.transform(words, lambda w: F.aggregate(F.filter(ids, lambda i: F.floor(i / 64) == w), F.lit(0).cast("bigint"), lambda s, i: s.bitwiseOR(F.call_function("shiftleft", one, i % 64))))
-
-
 def packed_hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v).cast("bigint")

@@ -27,13 +27,14 @@ def _by_blocks(left: DataFrame, right: DataFrame, keep: Callable[[np.ndarray], t
     ship(left.sparkSession)
     nl, nr = (1 + df.count() // block for df in (left, right))
     side = lambda df, key, own, n_own, other, n_other: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_other - 1).cast("bigint"))))
-    a, b = side(left, "i", "bi", nl, "bj", nr), side(right, "j", "bj", nr, "bi", nl)
+    right = right.select("j", F.col("v").alias("w"))  # a name of its own: both sides may be one relation
+    a, b = side(left.select("i", "v"), "i", "bi", nl, "bj", nr), side(right, "j", "bj", nr, "bi", nl)
 
     def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not (len(x) and len(y)):
             return pd.DataFrame({"i": pd.Series(dtype="int64"), "j": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
         y = y.sort_values("j")
-        s = np.round(_matrix(x["v"]) @ _matrix(y["v"]).T, 9)
+        s = np.round(_matrix(x["v"]) @ _matrix(y["w"]).T, 9)
         r, c = keep(s)
         return pd.DataFrame({"i": x["i"].to_numpy()[r], "j": y["j"].to_numpy()[c], "sim": s[r, c]})
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.planning import computed, cut
-from ..operators import clustering, preparation, ranking, similarity, tokenizer
+from ..operators import bits as bits_of
+from ..operators import clustering, corex, explore, preparation, ranking, similarity, tokenizer, tsetlin
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -204,8 +205,8 @@ SELECT doc_id, (len(ids) + len(nxt) - 2 * len(list_intersect(ids, nxt)))::BIGINT
 def packed_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document against the next id, on packed words; on literals with their complements the distance is twice as large."""
     b, bits = _bits(spark, sf_dir)
-    full = computed(computed(b, "w", S.packed(F.col("ids"), bits)), "f", S.packed(S.with_complement(F.col("ids"), bits), 2 * bits)).select("doc_id", "w", "f")
-    full = cut(full)
+    b = cut(b)
+    full = cut(bits_of.pack(b, "doc_id", "ids", bits).withColumnRenamed("words", "w").join(bits_of.pack(b, "doc_id", "ids", bits, True).withColumnRenamed("words", "f"), "doc_id"))
     nxt = full.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("w2"), F.col("f").alias("f2"))
     return full.join(nxt, "doc_id").select("doc_id", S.packed_hamming(F.col("w"), F.col("w2")).alias("distance"), S.packed_hamming(F.col("f"), F.col("f2")).alias("flipped"))
 
@@ -424,3 +425,72 @@ def filter_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def kmedoids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.create(units(spark, sf_dir), "k-medoids", 8, 2)
+
+
+# learning
+
+
+@query(f"""WITH {_BITS}, c AS (SELECT k::INTEGER AS k, CASE WHEN k % 2 = 0 THEN 'even' ELSE 'odd' END AS class, CASE WHEN k % 4 < 2 THEN 1 ELSE -1 END AS sign FROM range(0, 64) t(k)),
+w AS (SELECT doc_id, class, sum(CASE WHEN list_contains(ids, k) AND NOT list_contains(ids, 3 * k + 1) THEN sign ELSE 0 END)::BIGINT AS votes FROM b, c GROUP BY doc_id, class)
+SELECT doc_id, class AS label, votes FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, class) AS r FROM w) WHERE r = 1""")
+def tm_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes of 64 given clauses: feature k present and feature 3k + 1 absent."""
+    b = tokenizer.fingerprints(documents(spark, sf_dir), vocabulary(spark, sf_dir))
+    k = F.col("id").cast("int")
+    clauses = spark.range(64).select(F.when(k % 2 == 0, "even").otherwise("odd").alias("class"), F.when(k % 4 < 2, 1).otherwise(-1).alias("sign"), F.array(k).alias("present"), F.array(3 * k + 1).alias("absent"))
+    votes = tsetlin.vote(b, clauses)
+    return votes.groupBy("doc_id").agg(F.min_by("class", F.struct(-F.col("votes"), "class")).alias("label"), F.max("votes").alias("votes"))
+
+
+_SMALL = tokenizer.Params(max_df=0.7, min_df=0.02, max_len=20, min_len=2, ngrams=1, cgrams=0)
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Documents as fingerprints of words, labelled by whether they are said to be in English."""
+    lang = F.when(F.lower(F.substring("lang", 1, 2)) == "en", "english").otherwise("other")
+    docs = table(spark, sf_dir, "documents").where("lang is not null and text is not null").withColumn("kind", lang)
+    v = tokenizer.Vocabulary(_SMALL).train(docs).finalize()
+    prints = tokenizer.fingerprints(docs, v).join(docs.select("doc_id", "kind"), "doc_id")
+    return cut(prints.select("doc_id", "ids", F.col("kind").alias("label"), (F.col("kind") == "other").cast("int").alias("label_id"))), v.size()
+
+
+@query()
+def tm_train_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy of a classifier on held-out documents, and of the more frequent class."""
+    rows, bits = _labelled(spark, sf_dir)
+    train, test = ranking.train_test(rows, 1, ["doc_id"], 0.8)
+    m = tsetlin.train_classifier(train, bits, 2, tsetlin.Settings(clauses=20, target=10, specificity_high=10.0, iterations=2))
+    said = tsetlin.classify(test, m, ["english", "other"]).withColumnRenamed("label", "said")
+    right = F.avg((F.col("label") == F.col("said")).cast("double"))
+    return said.join(test.select("doc_id", "label"), "doc_id").agg(right.alias("accuracy"), F.greatest(F.avg((F.col("label") == "english").cast("double")), F.avg((F.col("label") == "other").cast("double"))).alias("majority"), F.count("*").alias("n"))
+
+
+@query()
+def compress_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, bits = _labelled(spark, sf_dir)
+    return corex.compress(rows, corex.fit(rows, bits, 16, iterations=6), bits).select("doc_id", joined("code").alias("code"))
+
+
+@query()
+def encoder_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of triplets whose codes put the anchor nearer to the positive sentence, after training on nine tenths."""
+    t = _triples(spark, sf_dir).where("size(a) > 0 and size(p) > 0 and size(n) > 0")
+    words = t.select(F.explode(F.array_distinct(F.concat("a", "p", "n"))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    total = t.count()
+    kept = [r["token"] for r in words.where(F.col("df") >= 0.02 * total).orderBy(F.desc("df"), "token").limit(512).collect()]
+    known = F.array(*[F.lit(w) for w in kept])
+    ids = lambda c: F.array_sort(F.transform(F.array_intersect(c, known), lambda w: (F.array_position(known, w) - 1).cast("int")))
+    rows = cut(t.select("triplet_id", *[ids(c).alias(c) for c in "apn"]))
+    train, test = ranking.train_test(rows, 2, ["triplet_id"], 0.9)
+    m = tsetlin.train_encoder(train, len(kept), 16, tsetlin.Settings(clauses=8, target=4, specificity_high=10.0, iterations=1))
+    codes = [tsetlin.encode(test, m, "triplet_id", c).withColumnRenamed("code", f"y{c}") for c in "apn"]
+    both = codes[0].join(codes[1], "triplet_id").join(codes[2], "triplet_id")
+    nearer = S.hamming(F.col("ya"), F.col("yp")) < S.hamming(F.col("ya"), F.col("yn"))
+    return both.agg(F.round(F.avg(nearer.cast("double")), 6).alias("score"), F.count("*").alias("n"))
+
+
+@query()
+def explore_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The draws of a search, with the reachable ones only."""
+    grid = explore.draws({"clauses": [16, 32, 64], "target": [4, 8, 16, 32], "specificity": [2, 5, 10]}, 0, 100, explore.fits)
+    return spark.createDataFrame([(explore.name_of(g), g["clauses"], g["target"], g["specificity"]) for g in grid], "name string, clauses int, target int, specificity int")
