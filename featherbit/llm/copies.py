@@ -39,7 +39,7 @@ def sheet_key(plain: Column, names: tuple[str, ...] = SHEET_NAMES) -> Column:
 
 def _refined(records: DataFrame, sheets: bool) -> tuple[DataFrame, DataFrame]:
     """The records alone in their cheap class, and (kind, id, first_id, copies) of those that had company there."""
-    present = records.where(F.col("text").isNotNull() & F.col("id").isNotNull())
+    present = records.select("kind", "id", "text").where(F.col("text").isNotNull() & F.col("id").isNotNull())
     plain = C.computed(present, "plain", C.unmarked(F.col("text"))).select("kind", "id", "plain")
     stripped = C.computed(plain, "_s", C.key_of(F.col("plain"))).where("_s <> ''")
     counts = [F.length("_s") - F.length(F.replace(F.col("_s"), F.lit(x))) for x in HISTOGRAM]

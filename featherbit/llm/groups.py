@@ -41,28 +41,35 @@ def entity_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("labels did not settle")
 
 
-def related_groups(records: DataFrame) -> DataFrame:
-    """records(id, author, anchor, ...) to the same with group_id and unit (a name for the group, never null).
+def related_groups(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """records(id, author, anchor) to (id, author, group_id, unit) and the columns to keep; unit names the group, never null.
 
     The key is carried as a 64-bit hash through the rounds; two keys share a hash with a chance of n^2 / 2^65.
     """
-    rest = [c for c in records.columns if c not in ("id", "author", "anchor")]
-    key = F.col("_key")
-    rows = C.computed(records, "_key", C.key_of(C.unmarked(F.col("anchor"))))
-    rows = C.cut(rows.select("id", "author", *rest, F.when(key != "", F.xxhash64(key)).alias("k")))
+    kept = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(True)
+    own = records.where(F.col("id").isNotNull()).select("id", "author", "anchor", kept.alias("keep"))
+    key = F.col("key")
+    rows = C.computed(own, "key", C.key_of(C.unmarked(F.col("anchor"))))
+    rows = C.cut(rows.select("id", "author", "keep", F.when(key != "", F.xxhash64(key)).alias("k")))
     edges = rows.where("author is not null and k is not null").select(F.col("author").alias("a"), "k").distinct()
     labels = entity_labels(edges)
-    by_key = C.cut(edges.join(labels, "a").groupBy("k").agg(F.min("label").alias("kl")))
-    keyed = rows.where("k is not null")
-    sizes = keyed.groupBy("k").agg(F.count("*").alias("n")).join(by_key, "k", "left")
-    keyed = C.heavy_join(keyed, C.cut(sizes), "k", "n").withColumn("group_id", F.coalesce("kl", "author"))
-    bare = rows.where("k is null")
-    own = bare.groupBy(F.col("author").alias("a")).agg(F.count("*").alias("n")).join(labels, "a", "left")
-    bare_known = C.heavy_join(bare.where("author is not null").withColumn("a", F.col("author")), C.cut(own.where("a is not null")), "a", "n")
-    bare = bare_known.withColumn("group_id", F.coalesce("label", "author")).select("id", "author", *rest, "k", "group_id").unionByName(bare.where("author is null").withColumn("group_id", F.lit(None).cast("bigint")).select("id", "author", *rest, "k", "group_id"))
-    every = keyed.select("id", "author", *rest, "k", "group_id").unionByName(bare)
-    unit = F.when(F.col("group_id").isNotNull(), F.concat(F.lit("a"), F.col("group_id").cast("string"))).when(F.col("k").isNotNull(), F.concat(F.lit("k"), F.col("k").cast("string"))).otherwise(F.concat(F.lit("r"), F.col("id").cast("string")))
-    return every.withColumn("unit", unit)
+    by_key = edges.join(labels, "a").groupBy("k").agg(F.min("label").alias("group_id"))
+    # rows with a key take the group of the key; the others that of their author, who is a group alone if without any key
+    keyed, bare = rows.where("k is not null"), rows.where("k is null and author is not null")
+    by_key = C.cut(keyed.groupBy("k").agg(F.count("*").alias("n")).join(by_key, "k", "left"))
+    by_author = bare.groupBy(F.col("author").alias("a")).agg(F.count("*").alias("n")).join(labels, "a", "left")
+    by_author = C.cut(by_author.select("a", "n", F.coalesce("label", "a").alias("group_id")))
+    parts = [
+        C.heavy_join(keyed, by_key, "k", "n"),
+        C.heavy_join(bare.withColumn("a", F.col("author")), by_author, "a", "n"),
+        rows.where("k is null and author is null").withColumn("group_id", F.lit(None).cast("bigint")),
+    ]
+    every = parts[0].select("id", "author", "keep", "k", "group_id")
+    for p in parts[1:]:
+        every = every.unionByName(p.select("id", "author", "keep", "k", "group_id"))
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    unit = F.when(F.col("group_id").isNotNull(), name("a", "group_id")).when(F.col("k").isNotNull(), name("k", "k")).otherwise(name("r", "id"))
+    return every.select("id", "author", "group_id", unit.alias("unit"), *(["keep.*"] if keep else []))
 
 
 def _place(need: dict[str, float], size: float) -> str:

@@ -43,7 +43,7 @@ def split_name(df: DataFrame) -> DataFrame:
 def _word_sets(records: DataFrame) -> DataFrame:
     """(id, held, a, p, n): sorted hashes of the distinct words of each field; held is 1 for train and 2 for the others."""
     side = F.when(F.col("split") == "train", 1).when(F.col("split").isin(*EVALUATION), 2)
-    rows = split_name(records).withColumn("held", side).where("held is not null and " + " and ".join(f"{c} is not null" for c in FIELDS))
+    rows = split_name(records.select("id", "split", *FIELDS)).withColumn("held", side).where("held is not null and " + " and ".join(f"{c} is not null" for c in FIELDS))
     for c in FIELDS:
         rows = C.computed(rows, f"_{c}", F.array_sort(F.array_distinct(F.transform(C.words(F.col(c)), lambda w: F.xxhash64(w)))))
     sets = rows.select("id", "held", *[F.col(f"_{c}").alias(c[0]) for c in FIELDS])
@@ -127,7 +127,7 @@ def overlapping_pairs(records: DataFrame, threshold: float = 0.7, hot: float = 0
 
 def chunk_overlap(records: DataFrame, divisor: int = 4) -> DataFrame:
     """(id, split, source, n_words, shared): words of each validation and test record in chunks that train has in the same field."""
-    rows = split_name(records).where(F.col("split").isin("train", *EVALUATION))
+    rows = split_name(records.select("id", "split", "source", *FIELDS)).where(F.col("split").isin("train", *EVALUATION))
     fields = F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).alias("t")) for c in FIELDS])
     each = rows.select("id", "split", "source", F.explode(fields).alias("x")).select("id", "split", "source", "x.f", C.words(F.col("x.t")).alias("_w"))
     each = C.computed(each, "w", F.transform("_w", lambda v: F.xxhash64(v)))

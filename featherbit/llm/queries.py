@@ -30,7 +30,7 @@ def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = triplets(spark, sf_dir)
-    return groups.related_groups(t.select(F.col("triplet_id").alias("id"), F.col("author_id").alias("author"), "anchor", "source"))
+    return groups.related_groups(t.select(F.col("triplet_id").alias("id"), F.col("author_id").alias("author"), "anchor", "source"), ("source",))
 
 
 @query

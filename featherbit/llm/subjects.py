@@ -195,7 +195,8 @@ class Model:
         s = counts / np.maximum(n, 1) * max(n.mean(), 1) + 1.0
         s /= s.sum(1, keepdims=True)
         self.association, self.entropy = s, (s * np.log(s * k)).sum(1)
-        self.feature = self.entropy > least
+        self.least = 0.337 * np.log(k)  # a third of all that can be known
+        self.feature = self.entropy > least * np.log(k)
         self.ratio = np.where(self.feature[:, None], np.log(s * k), 0.0)
         a, b = nothing + 3.0, about + 3.0
         self.nothing = np.clip(np.log(a / a.sum()) - np.log(b / b.sum()), -2, 2)
@@ -206,7 +207,7 @@ class Model:
         score = x.by_sentence(ratio)
         many = x.by_sentence(self.feature[x.terms].astype(float))
         nothing = x.by_sentence(self.nothing[x.terms])
-        about = (many > 0) & (nothing < margin) & (score.max(1, initial=0) > 0.7)
+        about = (many > 0) & (nothing < margin) & (score.max(1, initial=0) > self.least)
         return score + (prior[x.doc_of] if prior is not None else 0), many, nothing, about, ratio
 
 
@@ -267,7 +268,7 @@ def fit(docs: DataFrame, ratings: DataFrame, names: list[str], key: str = "doc_i
     base = votes.sum(0) / votes.sum()
     leaf = ((votes + 2 * base) / (votes.sum(1, keepdims=True) + 2))[:, 1:] / np.maximum(base[1:], 1e-6)
     leaf = (leaf + 1e-3) / (leaf + 1e-3).sum(1, keepdims=True)
-    model = Model(seen[:v, 1:], seen[:v, 1:].sum(1), seen[:v, 0], 0.7)
+    model = Model(seen[:v, 1:], seen[:v, 1:].sum(1), seen[:v, 0], 0.337)
     fitted = Fitted(names, terms, idf, levels, leaf, model, power)
     for _ in range(rounds):
 
@@ -287,7 +288,7 @@ def fit(docs: DataFrame, ratings: DataFrame, names: list[str], key: str = "doc_i
             out[:, k + 1] += np.bincount(x.terms[sure[s]], minlength=v)
 
         got = _summed(rows, (v, k + 2), judged)
-        fitted = Fitted(names, terms, idf, levels, leaf, Model(got[:, :k], got[:, k], got[:, k + 1], 0.6), power)
+        fitted = Fitted(names, terms, idf, levels, leaf, Model(got[:, :k], got[:, k], got[:, k + 1], 0.29), power)
     return rows, fitted
 
 
