@@ -109,6 +109,8 @@ def search_unit(j: int, high: int, g: int, codes: np.ndarray, x: np.ndarray, ids
             keep = s >= least
             best.append((a[keep], c[keep], s[keep]))
             lo = hi
+        if not best:
+            continue
         a, c, s = (np.concatenate(y) for y in zip(*best, strict=True))
         order = np.lexsort((ids[c], -s, a))
         a, c, s = a[order], c[order], s[order]
