@@ -138,6 +138,8 @@ def descend(dirs: DataFrame, graph: DataFrame, old: DataFrame | None, total: int
 def neighbour_graph(dirs: DataFrame, k: int = 12, trees: int = 8, rounds: int = 5, settled: float = 0.005) -> DataFrame:
     """(c, l): neighbour lists, cut."""
     total = dirs.count()
+    if total < 2:
+        return dirs.sparkSession.createDataFrame([], f"c bigint, l {LIST}")
     graph, old = C.cut(forest(dirs, total, k, trees)), None
     for _ in range(rounds):
         better = C.cut(descend(dirs, graph, old, total, k))

@@ -103,7 +103,7 @@ def search_unit(j: int, high: int, g: int, codes: np.ndarray, x: np.ndarray, ids
             if j:
                 before = np.bitwise_count(codes[a, :j] ^ codes[c, :j]).min(1) <= reach
                 a, c = a[~before], c[~before]
-            keep = a != c
+            keep = ids[a] != ids[c]  # entry and query may be two rows
             a, c = a[keep], c[keep]
             s = np.round(np.einsum("ij,ij->i", x[a], x[c]), 9)
             keep = s >= least
