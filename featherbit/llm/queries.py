@@ -249,3 +249,27 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p9_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.leaf_report(*_subjects(spark, sf_dir))
+
+
+# SQL of the searches: every pair of the whole tables, so only for small ones
+
+_V = """v AS (SELECT word_id AS i, max_by(embeddings, loaded_at)::DOUBLE[] AS e FROM words_model WHERE len(embeddings) = 64 GROUP BY word_id),
+u AS (SELECT i, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE list_dot_product(e, e) > 0),
+l AS (SELECT a.i AS a, b.i AS b, round(list_dot_product(a.e, b.e) / (a.n * b.n), 9) AS s FROM u a JOIN u b ON a.i <> b.i),
+k AS (SELECT a, b, s FROM l WHERE s >= 0.8)"""
+SQL["p1_found"] = f"""WITH RECURSIVE {_V}, r(i, c) AS (SELECT i, i FROM u UNION SELECT k.b, r.c FROM r JOIN k ON k.a = r.i),
+m AS (SELECT i, min(c) AS c FROM r GROUP BY i)
+SELECT c AS cluster_id, i AS word_id FROM m WHERE c IN (SELECT c FROM m GROUP BY c HAVING count(*) >= 3)"""
+SQL["p5_found"] = f"WITH {_V} SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM k) WHERE r <= 5"
+_T = "t AS (SELECT triplet_id AS id, max_by(anchor, loaded_at) AS anchor, max_by(positive, loaded_at) AS positive, max_by(negative, loaded_at) AS negative, max_by(author_id, loaded_at) AS author, max_by(lower(regexp_replace(split, '\\s+', '', 'g')), loaded_at) AS split FROM triplets GROUP BY triplet_id)"
+_W = r"list_distinct(list_transform(regexp_extract_all(coalesce({}, ''), '[\p{{L}}\p{{N}}]+'), lambda w: lower(w)))"
+_NEAR = "10 * len(list_intersect(x.{0}, y.{0})) >= 7 * (len(x.{0}) + len(y.{0}) - len(list_intersect(x.{0}, y.{0})))"
+SQL["p2_found"] = f"""WITH {_T}, w AS (SELECT id, split, {_W.format('anchor')} AS a, {_W.format('positive')} AS p, {_W.format('negative')} AS n FROM t),
+f AS (SELECT * FROM w WHERE len(a) > 0 AND len(p) > 0 AND len(n) > 0)
+SELECT least(x.id, y.id) AS id_a, greatest(x.id, y.id) AS id_b FROM f x JOIN f y ON x.split = 'train' AND y.split IN ('validation', 'test')
+WHERE {_NEAR.format('p')} AND {_NEAR.format('n')} AND {_NEAR.format('a')}"""
+SQL["p3_found"] = f"""WITH RECURSIVE {_T}, g AS (SELECT id, author, nullif(lower(regexp_replace(regexp_replace(anchor, '<[^<>]*>|&([A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', '', 'g')), '') AS k FROM t),
+e AS (SELECT DISTINCT author, k FROM g WHERE author IS NOT NULL AND k IS NOT NULL),
+r(author, c) AS (SELECT author, author FROM e UNION SELECT y.author, r.c FROM r JOIN e x ON x.author = r.author JOIN e y ON y.k = x.k),
+m AS (SELECT author, min(c) AS c FROM r GROUP BY author), mk AS (SELECT k, min(c) AS c FROM e JOIN m USING (author) GROUP BY k)
+SELECT id AS triplet_id, coalesce(mk.c, m.c, g.author) AS group_id FROM g LEFT JOIN mk ON mk.k = g.k LEFT JOIN m ON m.author = g.author"""
