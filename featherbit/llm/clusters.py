@@ -7,8 +7,12 @@
    neighbours are not tried again. Rounds end when hardly any list changes. Similarities are in double precision throughout.
 2. Links are the edges with at least ``least``. Modularity-based community detection on them: from labels spread over two
    steps, vectors move to the neighbouring community with the greatest gain in modularity, half of them (by hash) per round.
-3. Communities are described by size and by their members of highest internal weighted degree. Clusters in the sense of
-   p1_found are communities joined by links over their borders (minimum labels over the contracted graph).
+3. Lists of ``k`` hold neither all links of a dense region nor, being approximate, surely those they could. So an exact pass
+   compares all directions in pairs of blocks (``whole``), leaving out only what the triangle inequality rules out, and gives
+   the links between clusters, one per pair of them, and each vector's weighted degree over all links in its community.
+4. Clusters in the sense of p1_found are communities joined by links over their borders (minimum labels over the contracted
+   graph), first those of the lists, then all. Communities are described by size and by their members of highest internal
+   weighted degree. Modularity itself sees the links of the lists only.
 
 Cells over four times their intended size are split by hash, differently in each tree, so no task holds an unbounded group;
 descent connects the parts. Neighbours taken backward are limited to ``k`` by hash, as the method has it: a vector's own list
@@ -33,6 +37,7 @@ from . import vectors as V
 from .neighbours import unit_rows
 
 CELL, PIVOTS = 700, 1024
+BLOCKS, LEAST_BLOCK, MOST_BLOCK = 16, 1024, 16384
 LIST = "array<struct<d: double, o: bigint>>"
 
 
@@ -178,8 +183,84 @@ def communities(links: DataFrame, rounds: int = 6) -> DataFrame:
     return state.select("c", "m")
 
 
+def whole(dirs: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """dirs(c, v), found(c, n, m, label) to (a, b, w), of all pairs with at least ``least``: the labels a < b that a link joins,
+    with w null, and sums w by the vector a of its links inside its community m, with b null. Copies n count as often.
+
+    Blocks are cells around pivots, large ones split by hash. A vector meets a block unless its angle to the block's pivot is
+    further from those of the block's vectors than linked vectors can be apart.
+    """
+    total = dirs.count()
+    most = min(MOST_BLOCK, max(LEAST_BLOCK, total // BLOCKS))
+    drawn = dirs.orderBy(F.xxhash64("c", F.lit(-1)), "c").limit(min(PIVOTS, max(1, total // most))).select("v").collect()
+    if not drawn:
+        return dirs.sparkSession.createDataFrame([], "a bigint, b bigint, w double")
+    pivots, reach = unit_rows([r["v"] for r in drawn]), float(np.arccos(np.clip(least, -1, 1))) + 1e-6
+    angles = lambda v: np.arccos(np.clip(unit_rows(v) @ pivots.T, -1, 1))
+
+    def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            x = angles(f["v"])
+            yield f.assign(cell=x.argmin(1), angle=x.min(1))
+
+    at = C.cut(dirs.select("c", "v").join(found.select("c", "n", "m", "label"), "c").mapInPandas(cells, "c bigint, v array<float>, n bigint, m bigint, label bigint, cell int, angle double"))
+    parts = F.broadcast(at.groupBy("cell").agg(F.ceil(F.count("*") / most).alias("parts")))  # 1,024 rows at most
+    at = C.cut(at.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts"))).drop("parts"))
+    blocks = at.groupBy("cell", "part").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi")).orderBy("cell", "part").collect()  # vectors / most + 1,024 rows at most
+    number = {(r["cell"], r["part"]): i for i, r in enumerate(blocks)}
+    cell = np.array([r["cell"] for r in blocks])
+    lo, hi = np.array([r["lo"] for r in blocks]) - reach, np.array([r["hi"] for r in blocks]) + reach
+
+    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            own = np.array([number[x] for x in zip(f["cell"], f["part"], strict=True)], dtype=int)
+            x = angles(f["v"])[:, cell]
+            meets = (x >= lo) & (x <= hi)
+            f = f[["c", "v", "n", "m", "label"]].assign(own=own)
+            for j in range(len(lo)):
+                if (go := meets[:, j] | (own == j)).any():
+                    yield f[go].assign(p=np.minimum(own[go], j), q=np.maximum(own[go], j))
+
+    def compare(f: pd.DataFrame) -> pd.DataFrame:
+        p, q = int(f["p"].iloc[0]), int(f["q"].iloc[0])
+        left, right = f[f["own"] == p], f[f["own"] == q]
+        across, inside = [np.zeros((0, 2), dtype=np.int64)], [np.zeros(len(left)), np.zeros(len(right))]
+        if len(left) and len(right):
+            x, y = unit_rows(left["v"]), unit_rows(right["v"])
+            (c, n, m, t), (d, k, o, u) = (z[["c", "n", "m", "label"]].to_numpy(dtype=np.int64).T for z in (left, right))
+            for g in range(0, len(x), 512):
+                s = x[g : g + 512] @ y.T
+                i, j = np.nonzero(s >= least - 1e-8)
+                w, i = np.round(s[i, j], 9), i + g
+                real = (w >= least) & ((c[i] < d[j]) | (p != q))
+                i, j, w = i[real], j[real], w[real]
+                same = m[i] == o[j]
+                inside[0] += np.bincount(i[same], w[same] * k[j[same]], len(x))
+                inside[1] += np.bincount(j[same], w[same] * n[i[same]], len(y))
+                i, j = i[t[i] != u[j]], j[t[i] != u[j]]
+                across.append(np.unique(np.stack([np.minimum(t[i], u[j]), np.maximum(t[i], u[j])], 1), axis=0))
+        pairs = np.unique(np.concatenate(across), axis=0)
+        ids, sums = np.concatenate([left["c"], right["c"]]), np.concatenate(inside)
+        ids, sums = ids[sums > 0], sums[sums > 0]
+        return pd.DataFrame({
+            "a": pd.Series(np.r_[pairs[:, 0], ids], dtype="int64"),
+            "b": pd.array([*pairs[:, 1].tolist(), *[None] * len(ids)], dtype="Int64"),
+            "w": pd.array([*[None] * len(pairs), *sums.tolist()], dtype="Float64"),
+        })
+
+    sent = at.mapInPandas(send, "c bigint, v array<float>, n bigint, m bigint, label bigint, own int, p int, q int")
+    return C.cut(sent.groupBy("p", "q").applyInPandas(compare, "a bigint, b bigint, w double"))
+
+
+def _joined(found: DataFrame, label: str, across: DataFrame) -> DataFrame:
+    """found with ``label`` replaced by the smallest one that pairs across(a, b) of labels connect it with."""
+    touching = C.cut(across.select(F.explode(F.array("a", "b")).alias("a"), F.xxhash64("a", "b").alias("k")))
+    joined = groups.entity_labels(touching).select(F.col("a").alias(label), F.col("label").alias("_to"))
+    return found.join(joined, label, "left").select("c", "n", "m", F.coalesce("_to", label).alias("label"))
+
+
 def similarity_clusters(rows: DataFrame, least: float = 0.8, k: int = 12, trees: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """rows(id, v) usable. Gives (id, c) of all, links (a, b, w), and (c, n, m, cluster) of every linked or copied direction."""
+    """rows(id, v) usable. Gives (id, c) of all, (c, w) of links inside communities, and (c, n, m, cluster, size) of every direction."""
     C.ship(rows.sparkSession)
     dirs, members = V.directions(rows)
     graph = neighbour_graph(dirs, k, trees)
@@ -187,12 +268,13 @@ def similarity_clusters(rows: DataFrame, least: float = 0.8, k: int = 12, trees:
     links = C.cut(edges.select(F.least("c", "x.o").alias("a"), F.greatest("c", "x.o").alias("b"), F.round(1 - F.col("x.d"), 9).alias("w")).distinct())
     found = C.cut(dirs.select("c", "n").join(communities(links), "c", "left").select("c", "n", F.coalesce("m", "c").alias("m")))
     side = lambda x: found.select(F.col("c").alias(x), F.col("m").alias(f"m{x}"))
-    across = links.join(side("a"), "a").join(side("b"), "b").where("ma <> mb").select("ma", "mb").distinct()
-    touching = C.cut(across.select(F.explode(F.array("ma", "mb")).alias("a"), F.xxhash64("ma", "mb").alias("k")))
-    joined = groups.entity_labels(touching).select(F.col("a").alias("m"), F.col("label"))
-    named = found.join(joined, "m", "left").select("c", "n", "m", F.coalesce("label", "m").alias("label"))
+    across = links.join(side("a"), "a").join(side("b"), "b").where("ma <> mb").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct()
+    named = C.cut(_joined(found, "m", across))
+    rest = whole(dirs, named, least)
+    named = _joined(named, "label", rest.where("b is not null").select("a", "b").distinct())
+    inner = rest.where("b is null").groupBy(F.col("a").alias("c")).agg(F.sum("w").alias("w"))
     firsts = named.groupBy("label").agg(F.min("c").alias("cluster"), F.sum("n").alias("size"))
-    return members, links, C.cut(named.join(firsts, "label").select("c", "n", "m", "cluster", "size"))
+    return members, inner, C.cut(named.join(firsts, "label").select("c", "n", "m", "cluster", "size"))
 
 
 def cluster_members(rows: DataFrame, least: float = 0.8, smallest: int = 3) -> DataFrame:
@@ -207,11 +289,7 @@ def cluster_report(rows: DataFrame, least: float = 0.8, typical: int = 5) -> Dat
 
     A copy counts as a link of 1, so copies of one direction are typical by their number.
     """
-    _, links, found = similarity_clusters(rows, least)
-    side = lambda x: found.select(F.col("c").alias(x), F.col("m").alias(f"m{x}"), F.col("n").alias(f"n{x}"))
-    inner = links.join(side("a"), "a").join(side("b"), "b").where("ma = mb")
-    ends = inner.select(F.explode(F.array(F.struct(F.col("a").alias("c"), (F.col("w") * F.col("nb")).alias("w")), F.struct(F.col("b").alias("c"), (F.col("w") * F.col("na")).alias("w")))).alias("x"))
-    inside = ends.groupBy("x.c").agg(F.sum("x.w").alias("w"))
+    _, inside, found = similarity_clusters(rows, least)
     scored = found.join(inside, "c", "left").select("m", "c", "n", (F.coalesce("w", F.lit(0.0)) + F.col("n") - 1).alias("w"))
     named = scored.groupBy("m").agg(F.min("c").alias("community_id"), F.sum("n").alias("size")).where("size >= 2")
     by = Window.partitionBy("m").orderBy(F.desc(F.round("w", 6)), "c")

@@ -66,3 +66,29 @@ def test_clusters(spark):
     hot = max(report, key=lambda r: r["size"])
     assert len(hot["typical"]) == 5 and len(set(label[hot["typical"]])) == 1
     assert clusters.cluster_members(frame(spark, rows[-6:])).count() == 0
+
+
+def test_clusters_of_more_links_than_a_list_holds(spark, monkeypatch):
+    """Subgroups of over k vectors fill one another's lists; all pairs are linked, so all are one cluster."""
+    rng = np.random.default_rng(4)
+    hub = rng.standard_normal(64)
+    hub /= np.linalg.norm(hub)
+    far = rng.standard_normal((300, 64))
+    x = []
+    for _ in range(6):
+        off = rng.standard_normal(64)
+        x += [hub + 0.36 * off / np.linalg.norm(off) + 0.004 * rng.standard_normal(64) for _ in range(20)]
+    x = np.array([*x, *far, far[0] + 0.1, far[0] - 0.1], dtype=np.float32)
+    s = truth(x)
+    assert s[:120, :120].min() >= 0.8
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    for size in (1024, 16):  # one block, and many
+        monkeypatch.setattr(clusters, "LEAST_BLOCK", size)
+        got = {tuple(r) for r in clusters.cluster_members(df).collect()}
+        assert got == {(0, i) for i in range(120)} | {(120, i) for i in (120, 420, 421)}
+        _, inner, found = clusters.similarity_clusters(df)
+        m = {r["c"]: r["m"] for r in found.collect()}
+        same = np.array([[m[i] == m[j] and i != j for j in range(len(x))] for i in range(len(x))])
+        want = np.where(same & (s >= 0.8), s, 0).sum(1)
+        w = {r["c"]: r["w"] for r in inner.collect()}
+        assert np.allclose([w.get(i, 0.0) for i in range(len(x))], want)
