@@ -4,8 +4,8 @@ Iterative minimum-label propagation over the bipartite graph of authors and anch
 (author, key) pairs, so a hot anchor or author is reduced before anything is shuffled, and every round moves minima only,
 combined in each map task first. Each round ends with a pointer jump (an author takes the label of its label), so chains
 shorten geometrically. Then groups are assigned to splits: the groups with over a thousandth of all rows (fewer than a
-thousand) one by one on the driver, the largest first, each where its rows are wanted most; all others by their
-place on a running sum within their stratum, cut where the wanted shares are reached.
+thousand) one by one on the driver, the largest first, each where the rows per split and stratum deviate least from the wanted
+shares; all others by their place on a running sum within their stratum, cut where the splits have what the stratum lacks.
 
 Defined results: null authors and empty or null anchors join nothing; group_id is the smallest author of the group; a
 group without any author has a null group_id and is split as a unit of its own; repeated rows count once; an empty table
@@ -14,6 +14,7 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,13 +73,43 @@ def related_groups(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return every.select("id", "author", "group_id", unit.alias("unit"), *(["keep.*"] if keep else []))
 
 
-def _place(need: dict[str, float], size: float) -> str:
-    return max(need, key=lambda s: (need[s] - size if need[s] >= size else (need[s] - size) * 1e6, s))
+def _place(units: list[tuple[str, np.ndarray]], share: np.ndarray, whole: np.ndarray) -> tuple[list[tuple[str, int, int]], np.ndarray]:
+    """units of (name, rows per stratum), whole rows per stratum, to (name, split, rows) and the rows placed (splits x strata).
 
-
-def _by_running_sum(units: DataFrame, need: dict[str, float], buckets: int) -> DataFrame:
-    """units(unit, st, size) to (unit, split, size): in each stratum units stand in hash order, and the running sum of their
-    sizes is cut so that the splits get what they need. A bucket of the hash is the unit of the sort, not a stratum."""
+    The largest first, each where deviation grows least: that from the rows wanted in the end, per split and stratum and per
+    split, which nothing takes back once there are too many; and, at a tenth, that from the wanted shares of what is placed yet.
+    """
+    want, have, met, out = np.outer(share, whole), np.zeros((len(share), len(whole))), np.zeros(len(whole)), []
+    for name, rows in sorted(units, key=lambda u: (-u[1].sum(), u[0])):
+        met = met + rows
+        costs = []
+        for s in range(len(share)):
+            new = have.copy()
+            new[s] += rows
+            end = np.abs(new - want).sum() + np.abs(new.sum(1) - want.sum(1)).sum()
+            costs.append((round(end + 0.1 * np.abs(new - np.outer(share, met)).sum(), 6), -share[s], s))
+        s = min(costs)[2]
+        have[s] += rows
+        out.append((name, s, int(rows.sum())))
+    return out, have
+
+
+def _spread(lacks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many of the ``sizes`` rows of each stratum go to each split (strata x splits), where ``lacks`` are wanted. A split that
+    has too many of a stratum gets none of it; what others miss through that is made up in other strata, so that the splits'
+    totals come right (proportional fitting)."""
+    total = np.maximum(lacks.sum(0), 0)
+    total *= sizes.sum() / max(total.sum(), 1e-12)
+    x = np.maximum(lacks, 1e-6 * sizes[:, None])
+    for _ in range(200):
+        x = x * (total / np.maximum(x.sum(0), 1e-12))
+        x = x * (sizes / np.maximum(x.sum(1), 1e-12))[:, None]
+    return x
+
+
+def _by_running_sum(units: DataFrame, need: dict[str, dict[str, float]], buckets: int) -> DataFrame:
+    """units(unit, st, size) to (unit, st, split, size): in each stratum units stand in hash order, and the running sum of their
+    sizes is cut so that the splits get what they need of it. A bucket of the hash is the unit of the sort, not a stratum."""
     spark = units.sparkSession
     units = units.withColumn("b", F.pmod(F.xxhash64("unit"), F.lit(buckets)))
     sums = units.groupBy("st", "b").agg(F.sum("size").alias("n")).orderBy("st", "b").collect()  # at most 65 x buckets rows
@@ -87,54 +118,65 @@ def _by_running_sum(units: DataFrame, need: dict[str, float], buckets: int) -> D
     for r in sums:
         starts.append((r["st"], r["b"], run.get(r["st"], 0)))
         run[r["st"]] = run.get(r["st"], 0) + r["n"]
-    left = max(1.0, sum(max(0.0, x) for x in need.values()))
-    names, cuts, carry = list(need), [], dict.fromkeys(need, 0.0)
+    names = list(next(iter(need.values()), {}))
+    cuts, carry = [], dict.fromkeys(names, 0.0)
     for st, n in sorted(run.items()):  # what rounding to whole rows took from a split is carried on to the next stratum
-        at = 0.0
+        at, left = 0.0, max(1e-9, sum(need[st].values()))
         for s in names:
-            carry[s] += max(0.0, need[s]) / left * n
+            carry[s] += need[st][s] / left * n
             upto = at + round(carry[s])
             carry[s] -= round(carry[s])
             cuts.append((st, s, at, float(upto) if s != names[-1] else float("inf")))
             at = float(upto)
     if not starts:
-        return spark.createDataFrame([], "unit string, split string, size bigint")
+        return spark.createDataFrame([], "unit string, st string, split string, size bigint")
     w = Window.partitionBy("st", "b").orderBy(F.xxhash64("unit", F.lit(7)), "unit").rowsBetween(Window.unboundedPreceding, 0)
     known = F.broadcast(spark.createDataFrame(starts, "st string, b bigint, start bigint"))
     at = units.join(known, ["st", "b"]).withColumn("mid", F.col("start") + F.sum("size").over(w) - F.col("size") / 2)
     cut = F.broadcast(spark.createDataFrame(cuts, "cst string, split string, lo double, hi double"))  # 65 x splits rows
     inside = (F.col("st") == F.col("cst")) & (F.col("mid") >= F.col("lo")) & (F.col("mid") < F.col("hi"))
-    return at.join(cut, inside).select("unit", "split", "size")
+    return at.join(cut, inside).select("unit", "st", "split", "size")
 
 
 def assign_splits(grouped: DataFrame, stratum: str, shares: dict[str, float] | None = None, buckets: int = 256) -> DataFrame:
     """grouped(unit, stratum, ...) to (unit, split, size): whole units, shares of rows as near as may be, strata spread evenly.
 
-    The stratum of a unit is its commonest one (ties: the greatest name). Strata beyond the 64 largest share one. One small
-    unit in eight is kept back and placed last, over all strata at once, to make up for what whole units left uneven.
+    A large unit counts with its rows in every stratum; the stratum of a small one is its commonest (ties: the greatest name).
+    Strata beyond the 64 largest share one. One small unit in eight is kept back, to make up in each stratum for what whole units
+    left uneven; one in 64 is placed last, over all strata at once, so that the splits' totals come right.
     """
     shares = shares or SHARES
     name = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
-    cells = grouped.groupBy("unit", name.alias("st")).agg(F.count("*").alias("n"))
+    cells = C.cut(grouped.groupBy("unit", name.alias("st")).agg(F.count("*").alias("n")))
+    top = [r["st"] for r in cells.groupBy("st").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "st").limit(64).collect()]
+    cells = cells.withColumn("st", F.when(F.col("st").isin(top), F.col("st")).otherwise("~")) if top else cells
     units = C.cut(cells.groupBy("unit").agg(F.sum("n").alias("size"), F.max_by("st", F.struct("n", "st")).alias("st")))
     total = units.agg(F.sum("size")).first()[0] or 0
-    large = units.where(F.col("size") > total / 1000).collect()  # fewer than a thousand units
-    need = {s: total * p for s, p in shares.items()}
-    placed = []
-    for r in sorted(large, key=lambda r: (-r["size"], r["unit"])):
-        s = _place(need, r["size"])
-        need[s] -= r["size"]
-        placed.append((r["unit"], s, r["size"]))
     small = units.where(F.col("size") <= total / 1000)
-    top = [r["st"] for r in small.groupBy("st").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "st").limit(64).collect()]
-    small = small.withColumn("st", F.when(F.col("st").isin(top), F.col("st")).otherwise("~")) if top else small
-    last = F.pmod(F.xxhash64("unit", F.lit(3)), F.lit(8)) == 0
-    first = C.cut(_by_running_sum(small.where(~last), need, buckets))
-    for r in first.groupBy("split").agg(F.sum("size").alias("n")).collect():
-        need[r["split"]] -= r["n"]
-    rest = _by_running_sum(small.where(last).withColumn("st", F.lit("")), need, buckets)
-    fixed = grouped.sparkSession.createDataFrame(placed, "unit string, split string, size bigint")
-    return first.unionByName(rest).unionByName(fixed)
+    of_large = cells.join(F.broadcast(units.where(F.col("size") > total / 1000).select("unit")), "unit")  # fewer than a thousand units
+    strata = {st: k for k, st in enumerate([*top, "~"])}
+    splits, share = list(shares), np.array(list(shares.values()), dtype=float)
+    large: dict[str, np.ndarray] = {}
+    for r in of_large.groupBy("unit", "st").agg(F.sum("n").alias("n")).collect():  # at most 65 rows of each
+        large.setdefault(r["unit"], np.zeros(len(strata)))[strata[r["st"]]] += r["n"]
+    h = F.pmod(F.xxhash64("unit", F.lit(3)), F.lit(64))
+    turn = F.when(h >= 8, 0).when(h > 0, 1).otherwise(2)
+    sizes = np.zeros((3, len(strata)))
+    for r in small.groupBy("st", turn.alias("turn")).agg(F.sum("size").alias("n")).collect():
+        sizes[r["turn"], strata[r["st"]]] = r["n"]
+    whole = sum(large.values(), np.zeros(len(strata))) + sizes.sum(0)
+    placed, have = _place(list(large.items()), share / share.sum(), whole)
+    out, lacks = [], np.outer(whole, share / share.sum()) - have.T
+    for t in range(2):
+        lacks = _spread(lacks, sizes[t:].sum(0))
+        need = {st: dict(zip(splits, lacks[k].tolist(), strict=True)) for st, k in strata.items()}
+        out.append(C.cut(_by_running_sum(small.where(turn == t), need, buckets)))
+        for r in out[-1].groupBy("st", "split").agg(F.sum("size").alias("n")).collect():
+            lacks[strata[r["st"]], splits.index(r["split"])] -= r["n"]
+    need = {"": dict(zip(splits, np.maximum(lacks.sum(0), 0).tolist(), strict=True))}
+    rest = _by_running_sum(small.where(turn == 2).withColumn("st", F.lit("")), need, buckets)
+    fixed = grouped.sparkSession.createDataFrame([(u, splits[s], n) for u, s, n in placed], "unit string, split string, size bigint")
+    return out[0].unionByName(out[1]).unionByName(rest).drop("st").unionByName(fixed)
 
 
 def split_rows(grouped: DataFrame, stratum: str, shares: dict[str, float] | None = None) -> DataFrame:

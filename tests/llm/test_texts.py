@@ -83,6 +83,20 @@ def test_split_shares(spark):
     assert all(abs(share[s] - p) < 0.002 for s, p in groups.SHARES.items())
 
 
+def test_large_groups_are_stratified(spark):
+    """Sources whose rows lie mostly in large groups reach every split in their share, groups of two sources included."""
+    rng = np.random.default_rng(3)
+    rows = [(f"a{u}", "a") for u in range(40) for _ in range(60)] + [(f"c{u}", "ac"[i % 2]) for u in range(30) for i in range(50)]
+    rows += [(f"u{u}", "bd"[u % 2]) for u in range(2000) for _ in range(rng.integers(1, 5))]
+    df = spark.createDataFrame(rows, "unit string, source string")
+    got = groups.split_rows(df, "source").toPandas()
+    assert len(got) == len(rows) and (got.groupby("unit")["split"].nunique() == 1).all()
+    for s, p in groups.SHARES.items():
+        assert abs((got["split"] == s).mean() - p) < 0.004
+        per = got.groupby("source")["split"].apply(lambda x, s=s: (x == s).mean())
+        assert all(abs(per[x] - p) < 0.03 for x in "ac") and all(abs(per[x] - p) < 0.01 for x in "bd")
+
+
 def words(t):
     return set(re.findall(r"[^\W_]+", t.lower())) if t else set()
 
