@@ -39,9 +39,12 @@ def parser() -> argparse.ArgumentParser:
     p = command(create, "modeler")
     for o in ("--cache", "--name"):
         p.add_argument(o, required=True)
-    p.add_argument("--sentences", nargs="+", required=True)
+    texts = p.add_mutually_exclusive_group(required=True)
+    texts.add_argument("--sentences", nargs="+")
+    texts.add_argument("--samples", nargs="+")
     for o, kind, default in (("--max-df", float, 1.0), ("--min-df", float, 0.0), ("--max-len", int, 20), ("--min-len", int, 2), ("--ngrams", int, 1), ("--cgrams", int, 0)):
         p.add_argument(o, type=kind, default=default)
+    p.add_argument("--compress", nargs=3, metavar=("HIDDEN", "ITERATIONS", "EPS"))
     for name in ("classifier", "encoder"):
         p = command(create, name)
         for o in ("--cache", "--name", "--modeler"):
@@ -107,7 +110,8 @@ def explore(spark: SparkSession, a: argparse.Namespace) -> None:
     for m, c in search.paired(search.draws(cfg["modeler"]), search.draws(cfg["classifier"], valid=search.fits)):
         names = search.name_of(m), search.name_of(m | c)
         if not reg.exists("modeler", names[0]):
-            pipelines.create_modeler(reg, names[0], Params(**m), train)
+            more = {k: m[k] for k in ("hidden", "iterations", "eps") if k in m}  # of the compressor
+            pipelines.create_modeler(reg, names[0], Params(**{k: v for k, v in m.items() if k not in more}), train, **more)
         if not reg.exists("classifier", names[1]):
             pipelines.create_classifier(reg, names[1], names[0], train, tsetlin.Settings(**c))
         said = pipelines.classify(reg, names[1], test).withColumnRenamed("label", "said").join(test, "doc_id")
@@ -135,7 +139,9 @@ def main(argv: list[str] | None = None) -> None:
         pipelines.create_clusters(Registry(spark, a.cache), a.name, a.words, a.algorithm[0], *numbers, only=only)
     elif a.what == "modeler":
         params = Params(a.max_df, a.min_df, a.max_len, a.min_len, a.ngrams, a.cgrams)
-        pipelines.create_modeler(Registry(spark, a.cache), a.name, params, readers.lines(spark, *a.sentences))
+        more = dict(zip(("hidden", "iterations", "eps"), (int(a.compress[0]), int(a.compress[1]), float(a.compress[2])), strict=True)) if a.compress else {}
+        rows = readers.lines(spark, *a.sentences) if a.sentences else readers.samples(spark, *a.samples, numeric=False).withColumn("doc_id", F.monotonically_increasing_id())
+        pipelines.create_modeler(Registry(spark, a.cache), a.name, params, rows, **more)
     elif a.what == "classifier":
         rows = readers.samples(spark, *a.samples, numeric=False).withColumn("doc_id", F.monotonically_increasing_id())
         pipelines.create_classifier(Registry(spark, a.cache), a.name, a.modeler, rows, settings(a))

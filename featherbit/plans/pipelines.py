@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.planning import cut
-from ..operators import clustering, preparation, tsetlin
+from ..operators import clustering, corex, preparation, tsetlin
 from ..operators.tokenizer import Params, Vocabulary, fingerprints
 from ..sources.registry import Registry
 
@@ -30,16 +30,34 @@ def create_clusters(reg: Registry, name: str, words: str, algorithm: str, *args:
     reg.insert("clusters", name, {"words": words, "algorithm": algorithm, "args": list(args)}, clusters=found)
 
 
-def create_modeler(reg: Registry, name: str, params: Params, docs: DataFrame, text: str = "text", key: str = "doc_id") -> Vocabulary:
+def create_modeler(reg: Registry, name: str, params: Params, docs: DataFrame, text: str = "text", key: str = "doc_id", hidden: int | None = None, iterations: int | None = None, eps: float | None = None) -> Vocabulary:
+    """With hidden, iterations and eps a compressor is fitted on the fingerprints and saved under the same name."""
+    given = [x is not None for x in (hidden, iterations, eps)]
+    if any(given) and not all(given):
+        raise ValueError("hidden, iterations and eps are needed together")
     if reg.exists("modeler", name):
         raise ValueError(f"modeler {name} exists already")
     v = Vocabulary(params).train(docs, key, text).finalize()
-    reg.save_vocabulary(name, v, features=v.size())
+    if all(given):
+        c = corex.fit(cut(fingerprints(docs, v, key, text)), v.size(), hidden, iterations, eps)
+        reg.save_compressor(name, c, v.size(), iterations=iterations, eps=eps)
+    reg.save_vocabulary(name, v, features=v.size(), hidden=hidden if all(given) else v.size(), compressed=all(given))
     return v
 
 
 def model(reg: Registry, name: str, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return fingerprints(docs, reg.load_vocabulary(name), key, text)
+    """(key, ids): features, or the hidden bits of a modeler with a compressor."""
+    v = reg.load_vocabulary(name)
+    rows = fingerprints(docs, v, key, text)
+    if not reg.params("modeler", name).get("compressed"):
+        return rows
+    return corex.compress(rows, reg.load_compressor(name), v.size(), key).withColumnRenamed("code", "ids")
+
+
+def width(reg: Registry, name: str) -> int:
+    """Bits that ``model`` gives."""
+    p = reg.params("modeler", name)
+    return p["hidden"] if p.get("compressed") else reg.load_vocabulary(name).size()
 
 
 def create_classifier(reg: Registry, name: str, modeler: str, samples: DataFrame, settings: tsetlin.Settings, each: Callable | None = None) -> tsetlin.Machine:
@@ -49,9 +67,8 @@ def create_classifier(reg: Registry, name: str, modeler: str, samples: DataFrame
     dictionary = cut(preparation.label_dictionary(samples, "doc_id"))
     labels = [r["label"] for r in dictionary.orderBy("label_id").collect()]  # one row per class
     known = preparation.with_label_ids(samples, dictionary)
-    v = reg.load_vocabulary(modeler)
-    rows = cut(fingerprints(samples, v).join(known.select("doc_id", "label_id"), "doc_id"))
-    m = tsetlin.train_classifier(rows, v.size(), len(labels), settings, each)
+    rows = cut(model(reg, modeler, samples).join(known.select("doc_id", "label_id"), "doc_id"))
+    m = tsetlin.train_classifier(rows, width(reg, modeler), len(labels), settings, each)
     reg.save_machine("classifier", name, m, modeler=modeler, labels=[str(x) for x in labels])
     return m
 
@@ -65,13 +82,12 @@ def create_encoder(reg: Registry, name: str, modeler: str, triplets: DataFrame,
     """triplets(anchor, positive, negative). Every distinct sentence is modelled once."""
     if reg.exists("encoder", name):
         raise ValueError(f"encoder {name} exists already")
-    v = reg.load_vocabulary(modeler)
     sentences = preparation.sentences_of(triplets, "anchor", "positive", "negative")
-    prints = cut(fingerprints(sentences, v, "text", "text"))
+    prints = cut(model(reg, modeler, sentences, "text", "text"))
     rows = triplets
     for c, short in (("anchor", "a"), ("positive", "p"), ("negative", "n")):
         rows = rows.join(prints.select(F.col("text").alias(c), F.col("ids").alias(short)), c)
-    m = tsetlin.train_encoder(cut(rows.select("a", "p", "n")), v.size(), hidden, settings, each)
+    m = tsetlin.train_encoder(cut(rows.select("a", "p", "n")), width(reg, modeler), hidden, settings, each)
     reg.save_machine("encoder", name, m, modeler=modeler, hidden=hidden)
     return m
 

@@ -7,6 +7,7 @@ import json
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.corex import Compressor
 from ..operators.tokenizer import Params, Vocabulary
 from ..operators.tsetlin import Machine, Settings
 
@@ -47,8 +48,8 @@ class Registry:
         finally:
             out.close()
 
-    def insert(self, kind: str, name: str, params: dict, **tables: DataFrame) -> None:
-        if self.exists(kind, name):
+    def insert(self, kind: str, name: str, params: dict, anew: bool = False, **tables: DataFrame) -> None:
+        if not anew and self.exists(kind, name):
             raise ValueError(f"{kind} {name} exists already")
         for part, df in tables.items():
             df.write.mode("overwrite").parquet(self.path(kind, name, part))  # leftovers of a run that broke off
@@ -72,6 +73,17 @@ class Registry:
         p = self.params("modeler", name)
         return Vocabulary(Params(**p["params"]), p["n_docs"], self.table("modeler", name, "vocabulary"), p["finalized"])
 
+    def save_compressor(self, name: str, c: Compressor, bits: int, **more: object) -> None:
+        """Written before its modeler, so one without a modeler is a leftover and is replaced."""
+        rows = [(part, bytearray(np.asarray(getattr(c, part), dtype=np.float64).tobytes())) for part in ("on", "off", "prior")]
+        self.insert("compressor", name, {"bits": bits, "hidden": c.hidden, "history": c.history} | more, True, weights=self.spark.createDataFrame(rows, "part string, x binary"))
+
+    def load_compressor(self, name: str) -> Compressor:
+        p = self.params("compressor", name)
+        x = {r["part"]: np.frombuffer(bytes(r["x"])) for r in self.table("compressor", name, "weights").collect()}  # of the model's size
+        on, off = (x[part].reshape(2, p["hidden"], p["bits"]) for part in ("on", "off"))
+        return Compressor(on, off, x["prior"].reshape(2, p["hidden"]), p["history"])
+
     def save_machine(self, kind: str, name: str, m: Machine, **more: object) -> None:
         rows = [(h, bytearray(x.tobytes())) for h, x in enumerate(m.states)]
         self.insert(kind, name, {"bits": m.bits, "settings": m.s.__dict__} | more, states=self.spark.createDataFrame(rows, "h int, x binary"))

@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from featherbit.operators.tokenizer import Params, Vocabulary
+from featherbit.__main__ import main
+from featherbit.operators import corex
+from featherbit.operators.tokenizer import Params, Vocabulary, fingerprints
 from featherbit.operators.tsetlin import Settings
 from featherbit.plans import pipelines
 from featherbit.sources import readers
@@ -58,6 +60,22 @@ def test_saved_models(spark, tmp_path):
         reg.params("words", "none")
 
 
+def test_compressed_modeler(spark, tmp_path):
+    texts = [("red apple pie", "blue ocean wave")[i % 2] + f" word{i % 3}" for i in range(40)]
+    (tmp_path / "s.txt").write_text("".join(f"{i % 2}\t{t}\n" for i, t in enumerate(texts)))
+    main(["create", "modeler", "--cache", str(tmp_path / "reg"), "--name", "m", "--samples", str(tmp_path / "s.txt"), "--compress", "4", "6", "0.0001"])
+    reg = Registry(spark, str(tmp_path / "reg"))
+    docs = spark.createDataFrame([(i, t, ("food", "sea")[i % 2]) for i, t in enumerate(texts)], "doc_id long, text string, label string")
+    v, c = reg.load_vocabulary("m"), reg.load_compressor("m")
+    assert reg.names("compressor") == ["m"] and c.hidden == 4 == pipelines.width(reg, "m") and c.on.shape == (2, 4, v.size())
+    got = sorted(map(tuple, pipelines.model(reg, "m", docs).collect()))
+    assert got == sorted(map(tuple, corex.compress(fingerprints(docs, v), c, v.size()).collect())) and len({tuple(x) for _, x in got}) > 1
+    pipelines.create_classifier(reg, "c", "m", docs, Settings(clauses=10, target=5, specificity_high=5.0, iterations=3))
+    assert reg.load_machine("classifier", "c")[0].bits == 4 and pipelines.classify(reg, "c", docs).count() == 40
+    with pytest.raises(ValueError, match="needed together"):
+        pipelines.create_modeler(reg, "n", Params(), docs, hidden=4)
+
+
 def test_stream_counts_like_a_batch(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"alpha beta w{'abc'[i % 3]}") for i in range(12)], "doc_id long, text string")
     for part in range(3):
