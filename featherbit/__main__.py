@@ -9,6 +9,19 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 
+class TrainTest(argparse.Action):
+    """One or two files: to train on, and to test on."""
+
+    def __call__(self, parser, namespace, values, option_string=None) -> None:
+        if len(values) > 2:
+            parser.error(f"{option_string}: a train file and at most one test file")
+        setattr(namespace, self.dest, values)
+
+
+def report(epoch: int, train: float, test: float | None) -> None:
+    print(json.dumps({"epoch": epoch, "test": test, "train": train}))
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="featherbit")
     groups = top.add_subparsers(dest="group", required=True)
@@ -49,7 +62,7 @@ def parser() -> argparse.ArgumentParser:
         p = command(create, name)
         for o in ("--cache", "--name", "--modeler"):
             p.add_argument(o, required=True)
-        p.add_argument("--samples" if name == "classifier" else "--triplets", nargs="+", required=True)
+        p.add_argument("--samples" if name == "classifier" else "--triplets", nargs="+", required=True, action=TrainTest)
         for o, kind, default in (("--clauses", int, 64), ("--state", int, 8), ("--target", int, 32), ("--active", float, 0.85), ("--evaluate-every", int, 1), ("--iterations", int, 5), ("--seed", int, 0)):
             p.add_argument(o, type=kind, default=default)
         p.add_argument("--specificity", type=float, nargs=2, default=(2.0, 50.0))
@@ -143,10 +156,11 @@ def main(argv: list[str] | None = None) -> None:
         rows = readers.lines(spark, *a.sentences) if a.sentences else readers.samples(spark, *a.samples, numeric=False).withColumn("doc_id", F.monotonically_increasing_id())
         pipelines.create_modeler(Registry(spark, a.cache), a.name, params, rows, **more)
     elif a.what == "classifier":
-        rows = readers.samples(spark, *a.samples, numeric=False).withColumn("doc_id", F.monotonically_increasing_id())
-        pipelines.create_classifier(Registry(spark, a.cache), a.name, a.modeler, rows, settings(a))
+        parts = [readers.samples(spark, x, numeric=False).withColumn("doc_id", F.monotonically_increasing_id()) for x in a.samples]
+        pipelines.create_classifier(Registry(spark, a.cache), a.name, a.modeler, parts[0], settings(a), test=parts[1] if len(parts) > 1 else None, report=report)
     else:
-        pipelines.create_encoder(Registry(spark, a.cache), a.name, a.modeler, readers.triplets(spark, *a.triplets), a.hidden, settings(a))
+        parts = [readers.triplets(spark, x) for x in a.triplets]
+        pipelines.create_encoder(Registry(spark, a.cache), a.name, a.modeler, parts[0], a.hidden, settings(a), test=parts[1] if len(parts) > 1 else None, report=report)
 
 
 if __name__ == "__main__":

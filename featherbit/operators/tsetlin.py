@@ -152,6 +152,39 @@ def classify(rows: DataFrame, machine: Machine, labels: list[str], key: str = "d
     return rows.select(key, "ids").mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, label string")
 
 
+def _share(rows: DataFrame, machine: Machine, cols: list[str], right: Callable[[Machine, pd.DataFrame], np.ndarray]) -> float:
+    """The share of rows for which ``right`` holds; NaN without any."""
+    ship(rows.sparkSession)
+    held, bits, s = rows.sparkSession.sparkContext.broadcast(machine.states), machine.bits, machine.s
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = Machine(0, bits, s, held.value)
+        for f in frames:
+            for at in range(0, len(f), 1000):
+                part = f.iloc[at : at + 1000]
+                yield pd.DataFrame({"n": [len(part)], "hits": [int(right(m, part).sum())]})
+
+    r = rows.select(*cols).mapInPandas(run, "n bigint, hits bigint").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).first()
+    return r["hits"] / r["n"] if r["n"] else float("nan")
+
+
+def accuracy(rows: DataFrame, machine: Machine) -> float:
+    """rows(ids, label_id): the share whose class has the most votes, ties to the first."""
+    bits = machine.bits
+    return _share(rows, machine, ["ids", "label_id"], lambda m, f: m.votes(literals(f["ids"], bits)).argmax(1) == f["label_id"].to_numpy())
+
+
+def triplet_score(rows: DataFrame, machine: Machine) -> float:
+    """rows(a, p, n): the share that training would leave as it is, d(a, p) + margin <= d(a, n) in Hamming shares."""
+    bits = machine.bits
+
+    def right(m: Machine, f: pd.DataFrame) -> np.ndarray:
+        a, p, n = (m.votes(literals(f[c], bits)) >= 0 for c in "apn")
+        return (a != p).mean(1) - (a != n).mean(1) + m.s.margin <= 0
+
+    return _share(rows, machine, ["a", "p", "n"], right)
+
+
 def train_encoder(triplets: DataFrame, bits: int, hidden: int, s: Settings, each: Callable[[int, Machine], bool | None] | None = None) -> Machine:
     """triplets(a, p, n), sets of ids. A hinge on Hamming shares: where d(a, p) + margin exceeds d(a, n), output bits are
     taught, a share ``alpha`` of them scaled by the excess: a and p towards one another's bits, n away from a's."""

@@ -60,15 +60,34 @@ def width(reg: Registry, name: str) -> int:
     return p["hidden"] if p.get("compressed") else reg.load_vocabulary(name).size()
 
 
-def create_classifier(reg: Registry, name: str, modeler: str, samples: DataFrame, settings: tsetlin.Settings, each: Callable | None = None) -> tsetlin.Machine:
-    """samples(doc_id, label, text)."""
+Report = Callable[[int, float, float | None], bool | None]
+
+
+def _scored(score: Callable, train: DataFrame, test: DataFrame | None, report: Report | None, each: Callable | None) -> Callable | None:
+    """``each`` of the training: ``report`` gets the epoch and the scores on train and test (None without one); False stops."""
+    if report is None:
+        return each
+
+    def both(epoch: int, m: tsetlin.Machine) -> bool:
+        go = report(epoch, score(train, m), None if test is None else score(test, m)) is not False
+        return (each is None or each(epoch, m) is not False) and go
+
+    return both
+
+
+def create_classifier(reg: Registry, name: str, modeler: str, samples: DataFrame, settings: tsetlin.Settings, each: Callable | None = None, test: DataFrame | None = None, report: Report | None = None) -> tsetlin.Machine:
+    """samples and test(doc_id, label, text). Only samples are learnt; a label that only test has is an error."""
     if reg.exists("classifier", name):
         raise ValueError(f"classifier {name} exists already")
     dictionary = cut(preparation.label_dictionary(samples, "doc_id"))
     labels = [r["label"] for r in dictionary.orderBy("label_id").collect()]  # one row per class
-    known = preparation.with_label_ids(samples, dictionary)
-    rows = cut(model(reg, modeler, samples).join(known.select("doc_id", "label_id"), "doc_id"))
-    m = tsetlin.train_classifier(rows, width(reg, modeler), len(labels), settings, each)
+
+    def prepared(part: DataFrame) -> DataFrame:
+        known = preparation.with_label_ids(part, dictionary)
+        return cut(model(reg, modeler, part).join(known.select("doc_id", "label_id"), "doc_id").select("ids", "label_id"))
+
+    rows, held = prepared(samples), None if test is None else prepared(test)
+    m = tsetlin.train_classifier(rows, width(reg, modeler), len(labels), settings, _scored(tsetlin.accuracy, rows, held, report, each))
     reg.save_machine("classifier", name, m, modeler=modeler, labels=[str(x) for x in labels])
     return m
 
@@ -78,16 +97,20 @@ def classify(reg: Registry, name: str, docs: DataFrame) -> DataFrame:
     return tsetlin.classify(model(reg, p["modeler"], docs), m, p["labels"])
 
 
-def create_encoder(reg: Registry, name: str, modeler: str, triplets: DataFrame, hidden: int, settings: tsetlin.Settings, each: Callable | None = None) -> tsetlin.Machine:
-    """triplets(anchor, positive, negative). Every distinct sentence is modelled once."""
+def create_encoder(reg: Registry, name: str, modeler: str, triplets: DataFrame, hidden: int, settings: tsetlin.Settings, each: Callable | None = None, test: DataFrame | None = None, report: Report | None = None) -> tsetlin.Machine:
+    """triplets and test(anchor, positive, negative). Only triplets are learnt. Every distinct sentence is modelled once."""
     if reg.exists("encoder", name):
         raise ValueError(f"encoder {name} exists already")
-    sentences = preparation.sentences_of(triplets, "anchor", "positive", "negative")
-    prints = cut(model(reg, modeler, sentences, "text", "text"))
-    rows = triplets
-    for c, short in (("anchor", "a"), ("positive", "p"), ("negative", "n")):
-        rows = rows.join(prints.select(F.col("text").alias(c), F.col("ids").alias(short)), c)
-    m = tsetlin.train_encoder(cut(rows.select("a", "p", "n")), width(reg, modeler), hidden, settings, each)
+
+    def prepared(part: DataFrame) -> DataFrame:
+        sentences = preparation.sentences_of(part, "anchor", "positive", "negative")
+        prints, rows = cut(model(reg, modeler, sentences, "text", "text")), part
+        for c, short in (("anchor", "a"), ("positive", "p"), ("negative", "n")):
+            rows = rows.join(prints.select(F.col("text").alias(c), F.col("ids").alias(short)), c)
+        return cut(rows.select("a", "p", "n"))
+
+    rows, held = prepared(triplets), None if test is None else prepared(test)
+    m = tsetlin.train_encoder(rows, width(reg, modeler), hidden, settings, _scored(tsetlin.triplet_score, rows, held, report, each))
     reg.save_machine("encoder", name, m, modeler=modeler, hidden=hidden)
     return m
 

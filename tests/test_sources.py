@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +78,30 @@ def test_compressed_modeler(spark, tmp_path):
         pipelines.create_modeler(reg, "n", Params(), docs, hidden=4)
 
 
+def test_second_file_is_the_test_set(spark, tmp_path, capsys):
+    put = lambda name, rows: (tmp_path / name).write_text("".join("\t".join(r) + "\n" for r in rows)) and str(tmp_path / name)
+    rows = [("food", "red apple pie"), ("sea", "blue ocean wave")] * 10
+    train, test, odd = put("train", rows), put("test", [(rows[1][0], rows[0][1]), *rows[:3]]), put("odd", [*rows[:2], ("sky", "red apple")])
+    reg, cache = Registry(spark, str(tmp_path / "reg")), ["--cache", str(tmp_path / "reg")]
+    main(["create", "modeler", *cache, "--name", "m", "--samples", train])
+    learn = ["--modeler", "m", "--clauses", "10", "--target", "5", "--specificity", "2", "5", "--iterations", "4", "--evaluate-every", "2"]
+    main(["create", "classifier", *cache, "--name", "c", *learn, "--samples", train, test])
+    said = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert [x["epoch"] for x in said] == [2, 4] and said[-1]["train"] == 1.0 and said[-1]["test"] == 0.75
+    main(["create", "classifier", *cache, "--name", "alone", *learn, "--samples", train])
+    assert (reg.load_machine("classifier", "c")[0].states == reg.load_machine("classifier", "alone")[0].states).all()
+    with pytest.raises(Exception, match="unknown label: sky"):
+        main(["create", "classifier", *cache, "--name", "d", *learn, "--samples", train, odd])
+    assert reg.names("classifier") == ["alone", "c"]
+    t = put("t", [("red apple", "apple pie", "blue wave"), ("blue ocean", "ocean wave", "red pie")] * 5)
+    capsys.readouterr()
+    main(["create", "encoder", *cache, "--name", "e", *learn, "--hidden", "8", "--triplets", t, put("u", [("red", "red", "red")])])
+    said = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert [x["epoch"] for x in said] == [2, 4] and said[-1]["test"] == 0.0 and 0 <= said[-1]["train"] <= 1
+    with pytest.raises(SystemExit):
+        main(["create", "encoder", *cache, "--name", "f", *learn, "--triplets", t, t, t])
+
+
 def test_stream_counts_like_a_batch(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"alpha beta w{'abc'[i % 3]}") for i in range(12)], "doc_id long, text string")
     for part in range(3):
