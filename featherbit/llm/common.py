@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.planning import computed, cut, ship  # noqa: F401
+from ..functions.planning import computed, cut, ship, stored  # noqa: F401
 
 WORD = r"[\p{L}\p{N}]+"
-MARKUP = r"<[^<>]*>|&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);"
+MARKUP = r"<[^>]*>|&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,12 +3,15 @@
 Progressive partition refinement. Every record starts in one class per table; each step splits the classes by a key that
 costs more than the one before and only looks at classes that still hold several records:
 
-1. cheap invariants: length of the stripped text and its histogram of the eight commonest Latin letters. Both are the
-   same for all orders of a sheet's segments, so no copy is lost. Counted with partial aggregation, a class is one row.
-2. the exact key (for a sheet the sorted keys of its segments) as a 256-bit digest.
+1. letter histogram: how often each of eight letters stands in the lower-cased text without its markup. No key is built for
+   it, nothing is matched but single letters; blanks, punctuation and the order of segments can't change it, so no copy is lost.
+2. the exact key (for a sheet the sorted keys of its segments) as a 256-bit digest, of records in classes of several.
 
-Classes of one record leave after step 1 without their key ever being built. Hot classes are handled by ``heavy_join``:
-the few classes with over half a per cent of all rows are broadcast, their rows stay where they are.
+Classes of one record leave after step 1 without their key ever being built. The texts are written once, as a compressed
+table; each use reads the columns it needs. Hot classes are handled by ``heavy_join``: the few classes with over
+half a per cent of all rows are broadcast, their rows stay where they are.
+
+A tag reaches from ``<`` to the next ``>``, whatever stands between: of ``<br<br /> />`` the end `` />`` is left as punctuation.
 
 Defined results: null text and text with an empty key are left out; rows with a null id are left out; repeated rows with
 one id count once; ties need no rule, since the first record is the smallest id; very long texts are read whole; empty
@@ -37,20 +40,27 @@ def sheet_key(plain: Column, names: tuple[str, ...] = SHEET_NAMES) -> Column:
     return F.when((F.size(segments) >= 2) & named, F.concat(F.lit("s:"), ordered)).otherwise(F.concat(F.lit("t:"), C.key_of(plain)))
 
 
+def _split(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows alone in their class of ``key``, and those of classes of several."""
+    sizes = C.cut(rows.groupBy(key).agg(F.count("*").alias("n")))
+    alone = rows.join(sizes.where("n = 1").select(key), key, "left_semi")
+    return alone, C.heavy_join(rows, sizes.where("n > 1"), key, "n").drop("n", key)
+
+
 def _refined(records: DataFrame, sheets: bool) -> tuple[DataFrame, DataFrame]:
-    """The records alone in their cheap class, and (kind, id, first_id, copies) of those that had company there."""
+    """(kind, id) of the records found to be alone, and (kind, id, first_id, copies) of those of classes of several."""
     present = records.select("kind", "id", "text").where(F.col("text").isNotNull() & F.col("id").isNotNull())
     plain = C.computed(present, "plain", C.unmarked(F.col("text"))).select("kind", "id", "plain")
-    stripped = C.computed(plain, "_s", C.key_of(F.col("plain"))).where("_s <> ''")
-    counts = [F.length("_s") - F.length(F.replace(F.col("_s"), F.lit(x))) for x in HISTOGRAM]
-    cheap = stripped.select("kind", "id", "plain", F.xxhash64("kind", F.length("_s"), *counts).alias("cheap"))
-    sizes = C.cut(cheap.groupBy("cheap").agg(F.count("*").alias("n")))
-    alone = cheap.join(sizes.where("n = 1").select("cheap"), "cheap", "left_semi").select("kind", "id")
-    several = C.heavy_join(cheap, sizes.where("n > 1"), "cheap", "n")
-    digest = F.sha2(F.concat_ws("\x1f", "kind", sheet_key(F.col("plain"), SHEET_NAMES if sheets else ())), 256)
-    keyed = C.cut(several.select("kind", "id", digest.alias("key")))
+    low = C.computed(plain, "_l", F.lower("plain"))
+    counts = [F.length("_l") - F.length(F.replace(F.col("_l"), F.lit(x))) for x in HISTOGRAM]
+    rows = C.stored(low.select("kind", "id", "plain", F.xxhash64("kind", *counts).alias("histogram")))
+    single, several = _split(rows, "histogram")
+    single = single.where(F.col("plain").rlike(C.WORD)).select("kind", "id")
+    keyed = C.computed(several, "_k", sheet_key(F.col("plain"), SHEET_NAMES if sheets else ())).where("_k <> 't:'")
+    digest = F.sha2(F.concat_ws("\x1f", "kind", "_k"), 256)
+    keyed = C.cut(keyed.select("kind", "id", digest.alias("key")))
     groups = C.cut(keyed.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies")))
-    return alone, C.heavy_join(keyed, groups, "key", "copies").select("kind", "id", "first_id", "copies")
+    return single, C.heavy_join(keyed, groups, "key", "copies").select("kind", "id", "first_id", "copies")
 
 
 def copy_classes(records: DataFrame, sheets: bool = False) -> DataFrame:

@@ -82,7 +82,7 @@ WITH raw AS (
   UNION ALL
   SELECT 'sample', sample_id, max_by(review, loaded_at) FROM samples GROUP BY sample_id
 ), plain AS (
-  SELECT kind, id, regexp_replace(text, '<[^<>]*>|&([A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);', ' ', 'g') AS t FROM raw WHERE text IS NOT NULL
+  SELECT kind, id, regexp_replace(text, '<[^>]*>|&([A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);', ' ', 'g') AS t FROM raw WHERE text IS NOT NULL
 ), parts AS (
   SELECT kind, id, lower(regexp_replace(t, '[^\p{L}\p{N}]+', '', 'g')) AS k,
     list_filter(regexp_split_to_array(t, '[|;\n\r]+'), lambda s: regexp_replace(s, '[^\p{L}\p{N}]+', '', 'g') <> '') AS segs FROM plain
@@ -268,7 +268,7 @@ SQL["p2_found"] = f"""WITH {_T}, w AS (SELECT id, split, {_W.format('anchor')} A
 f AS (SELECT * FROM w WHERE len(a) > 0 AND len(p) > 0 AND len(n) > 0)
 SELECT least(x.id, y.id) AS id_a, greatest(x.id, y.id) AS id_b FROM f x JOIN f y ON x.split = 'train' AND y.split IN ('validation', 'test')
 WHERE {_NEAR.format('p')} AND {_NEAR.format('n')} AND {_NEAR.format('a')}"""
-SQL["p3_found"] = f"""WITH RECURSIVE {_T}, g AS (SELECT id, author, nullif(lower(regexp_replace(regexp_replace(anchor, '<[^<>]*>|&([A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', '', 'g')), '') AS k FROM t),
+SQL["p3_found"] = f"""WITH RECURSIVE {_T}, g AS (SELECT id, author, nullif(lower(regexp_replace(regexp_replace(anchor, '<[^>]*>|&([A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', '', 'g')), '') AS k FROM t),
 e AS (SELECT DISTINCT author, k FROM g WHERE author IS NOT NULL AND k IS NOT NULL),
 r(author, c) AS (SELECT author, author FROM e UNION SELECT y.author, r.c FROM r JOIN e x ON x.author = r.author JOIN e y ON y.k = x.k),
 m AS (SELECT author, min(c) AS c FROM r GROUP BY author), mk AS (SELECT k, min(c) AS c FROM e JOIN m USING (author) GROUP BY k)
