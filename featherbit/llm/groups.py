@@ -23,16 +23,31 @@ from . import common as C
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
+def _hot(edges: DataFrame, by: str, total: int, share: int = 200) -> list[int]:
+    """The nodes with over 1/share of all edges: fewer than ``share``."""
+    return [r[by] for r in edges.groupBy(by).agg(F.count("*").alias("_n")).where(F.col("_n") > max(total / share, 1000.0)).select(by).collect()]
+
+
+def _over(edges: DataFrame, values: DataFrame, by: str, hot: list[int]) -> DataFrame:
+    """edges joined to one value per node. Edges of hot nodes stay where they are: the values of those few are broadcast."""
+    if not hot:
+        return edges.join(values, by)
+    is_hot = F.col(by).isin(hot)
+    light = edges.where(~is_hot).join(values, by)
+    return light.unionByName(edges.where(is_hot).join(F.broadcast(values.where(is_hot)), by).select(*light.columns))
+
+
 def entity_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """edges(a BIGINT, k BIGINT), distinct, to (a, label): label is the smallest a of the connected component.
+    """edges(a BIGINT, k BIGINT), distinct and cut, to (a, label): label is the smallest a of the connected component.
 
     Raises if the labels still move after ``max_rounds``: with the pointer jump a component of diameter 2^30 would be needed.
     """
-    edges = C.cut(edges)
+    total = edges.count()
+    hot_a, hot_k = _hot(edges, "a", total), _hot(edges, "k", total)
     labels = C.cut(edges.groupBy("a").agg(F.min("a").alias("label")))
     for _ in range(max_rounds):
-        by_key = edges.join(labels, "a").groupBy("k").agg(F.min("label").alias("kl"))
-        by_author = edges.join(by_key, "k").groupBy("a").agg(F.min("kl").alias("al"))
+        by_key = _over(edges, labels, "a", hot_a).groupBy("k").agg(F.min("label").alias("kl"))
+        by_author = _over(edges, by_key, "k", hot_k).groupBy("a").agg(F.min("kl").alias("al"))
         jump = labels.select(F.col("a").alias("j"), F.col("label").alias("jl"))
         met = labels.join(by_author, "a").select("a", "label", F.least("label", "al").alias("new"))
         moved = C.cut(met.join(jump, F.col("new") == F.col("j"), "left").select("a", "label", F.least("new", F.coalesce("jl", "new")).alias("new")))
@@ -52,9 +67,9 @@ def related_groups(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     key = F.col("key")
     rows = C.computed(own, "key", C.key_of(C.unmarked(F.col("anchor"))))
     rows = C.cut(rows.select("id", "author", "keep", F.when(key != "", F.xxhash64(key)).alias("k")))
-    edges = rows.where("author is not null and k is not null").select(F.col("author").alias("a"), "k").distinct()
+    edges = C.cut(rows.where("author is not null and k is not null").select(F.col("author").alias("a"), "k").distinct())
     labels = entity_labels(edges)
-    by_key = edges.join(labels, "a").groupBy("k").agg(F.min("label").alias("group_id"))
+    by_key = _over(edges, labels, "a", _hot(edges, "a", edges.count())).groupBy("k").agg(F.min("label").alias("group_id"))
     # rows with a key take the group of the key; the others that of their author, who is a group alone if without any key
     keyed, bare = rows.where("k is not null"), rows.where("k is null and author is not null")
     by_key = C.cut(keyed.groupBy("k").agg(F.count("*").alias("n")).join(by_key, "k", "left"))
