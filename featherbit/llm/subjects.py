@@ -1,20 +1,24 @@
 """Problem 9: the subjects each document is about, in any language, and the shares of the subjects.
 
-1. One pass counts in how many documents each word stands; the ``TERMS`` most frequent ones (in at least 5 documents and
-   0.05 % of all) are the terms. A second pass turns every text into the term ids of its sentences; only these are kept.
+1. One pass counts in how many documents each word stands; those in at least ``LEAST`` documents and a share of ``FLOOR`` of
+   all are the terms. There are at most (distinct words of an average document) / ``FLOOR`` of them, whatever the corpus. A
+   second pass turns every text into the term ids of its sentences; only these are kept.
 2. Bisecting k-means on the normalised tf-idf vectors of the documents: every leaf of a level is split at once. A document's
    leaf follows from the centroids on its way down, so a pass needs no state but those. Only sums per (leaf, term) move.
-3. Leaves are labelled: by the rated documents they hold, and by discriminative terms. A term is discriminative if the
-   subjects of the sentences it stands in are far from evenly spread (relative entropy); what stands in all subjects alike, as
-   the language itself or the frame of a sentence, is none and says nothing. The association starts from rated documents (at
-   most ``RATED``, by hash) and is then estimated anew from all sentences, each term from the others of its sentence.
+3. Leaves are labelled: by the rated documents they hold, and by discriminative terms. Every document has a mixture of
+   subjects from its leaves; summed over all documents that gives, with the weight ``blend``, each term its first association with the
+   subjects, together with the rated documents themselves (at most ``RATED``, by hash). A term is discriminative if the subjects it stands with
+   are far from evenly spread (relative entropy); what stands in all subjects alike, as the language itself or the frame of a
+   sentence, is none and says nothing. Where hardly any term passes (few ratings), the best tenth of the terms is taken. The
+   association is then estimated anew from all sentences, each term from the others of its sentence; the rated documents stay
+   in it with the weight ``keep``, so it can't drift away from them or die out.
 4. Assignment by leaf mixtures, sentence by sentence, since a document may be about several subjects in turn: terms of the
    sentence, times the mixture of subjects of the document's leaves to a small power. Passing mentions and figures of speech
    are told apart by all words of a sentence: against those of rated documents that are about nothing, and what goes with them.
 5. A document has the subjects of at least ``share`` of its sentences.
 
 Everything but the rated documents covers all rows. To the driver come term counts, sums per leaf and term, and sums per
-subject and term, all bounded by TERMS times leaves or subjects.
+subject and term, all bounded by the number of terms times leaves or subjects.
 
 Defined results: null, empty and wordless texts have no subject; sentences of fewer than three words and lines of program code
 don't count; ratings without document are ignored, repeated ones count once; without any rating nothing is assigned; lang and
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-TERMS, RATED = 8192, 200_000
+FLOOR, LEAST, RATED = 0.0005, 5, 200_000
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _MARKUP = regex.compile(C.MARKUP)
 _ENDS = regex.compile(r"[.!?…]+(?=\s|$)|[\n\r]+")
@@ -64,9 +68,10 @@ def vocabulary(docs: DataFrame, key: str, text: str) -> tuple[list[str], np.ndar
             yield pd.DataFrame({"term": list(c.keys()), "n": np.fromiter(c.values(), dtype=np.int64, count=len(c))})
 
     counts = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInPandas(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "term").limit(TERMS + 1).collect()
-    total = next((r["n"] for r in rows if r["term"] == ""), 0)
-    kept = [r for r in rows if r["term"] and r["n"] >= max(5, 0.0005 * total)][:TERMS]
+    counts = C.cut(counts)
+    whole = counts.where("term = ''").first()
+    total = whole["n"] if whole else 0
+    kept = counts.where((F.col("term") != "") & (F.col("n") >= max(LEAST, FLOOR * total))).orderBy(F.desc("n"), "term").collect()
     return [r["term"] for r in kept], np.array([r["n"] for r in kept], dtype=np.float64), total
 
 
@@ -187,7 +192,8 @@ def bisect(rows: DataFrame, idf: np.ndarray, depth: int = 5, rounds: int = 2) ->
 
 class Model:
     """What says which subject: per term and subject a log ratio, zero for terms that don't discriminate, and per term how
-    much it speaks for a sentence about nothing."""
+    much it speaks for a sentence about nothing. A term discriminates if its relative entropy is over ``least`` of the most
+    there can be, or it is among the best tenth (at least 50) of the terms."""
 
     def __init__(self, counts: np.ndarray, about: np.ndarray, nothing: np.ndarray, least: float) -> None:
         k = counts.shape[1]
@@ -196,7 +202,8 @@ class Model:
         s /= s.sum(1, keepdims=True)
         self.association, self.entropy = s, (s * np.log(s * k)).sum(1)
         self.least = 0.337 * np.log(k)  # a third of all that can be known
-        self.feature = self.entropy > least * np.log(k)
+        few = min(len(s) - 1, max(50, len(s) // 10))
+        self.feature = self.entropy > min(least * np.log(k), np.sort(self.entropy)[::-1][few])
         self.ratio = np.where(self.feature[:, None], np.log(s * k), 0.0)
         a, b = nothing + 3.0, about + 3.0
         self.nothing = np.clip(np.log(a / a.sum()) - np.log(b / b.sum()), -2, 2)
@@ -216,6 +223,13 @@ def _soft(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def _mixture(x: Flat, idf: np.ndarray, levels: list[np.ndarray], leaf_subjects: np.ndarray) -> np.ndarray:
+    """(documents, subjects): the subjects of a document's leaves, nearer leaves weighing more."""
+    d, t, w = x.vectors(idf)
+    near = np.stack([np.bincount(d, weights=w * c[t], minlength=x.n) for c in levels[-1]], axis=1)
+    return _soft(near / 0.1) @ leaf_subjects
+
+
 class Fitted:
     """The fitted parts, for documents of any batch."""
 
@@ -224,9 +238,7 @@ class Fitted:
 
     def prior(self, x: Flat) -> np.ndarray:
         """Log of the subjects' mixture over a document's leaves, nearer leaves weighing more, to a small power."""
-        d, t, w = x.vectors(self.idf)
-        near = np.stack([np.bincount(d, weights=w * c[t], minlength=x.n) for c in self.levels[-1]], axis=1)
-        mix = _soft(near / 0.1) @ self.leaf_subjects
+        mix = _mixture(x, self.idf, self.levels, self.leaf_subjects)
         return self.power * np.log(mix * mix.shape[1])
 
     def shares(self, x: Flat) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +249,7 @@ class Fitted:
         return np.bincount(cell, minlength=x.n * k).reshape(x.n, k), np.bincount(x.doc_of, minlength=x.n)
 
 
-def fit(docs: DataFrame, ratings: DataFrame, names: list[str], key: str = "doc_id", text: str = "text", rounds: int = 3, power: float = 0.25, depth: int = 5) -> tuple[DataFrame, Fitted | None]:
+def fit(docs: DataFrame, ratings: DataFrame, names: list[str], key: str = "doc_id", text: str = "text", rounds: int = 3, power: float = 0.25, depth: int = 5, keep: float = 3.0, blend: float = 0.25) -> tuple[DataFrame, Fitted | None]:
     """The encoded documents and the fitted model; None without terms, subjects or ratings."""
     C.ship(docs.sparkSession)
     terms, n, total = vocabulary(docs, key, text)
@@ -268,8 +280,17 @@ def fit(docs: DataFrame, ratings: DataFrame, names: list[str], key: str = "doc_i
     base = votes.sum(0) / votes.sum()
     leaf = ((votes + 2 * base) / (votes.sum(1, keepdims=True) + 2))[:, 1:] / np.maximum(base[1:], 1e-6)
     leaf = (leaf + 1e-3) / (leaf + 1e-3).sum(1, keepdims=True)
-    model = Model(seen[:v, 1:], seen[:v, 1:].sum(1), seen[:v, 0], 0.337)
-    fitted = Fitted(names, terms, idf, levels, leaf, model, power)
+    given, silent = seen[:v, 1:], seen[:v, 0]
+
+    def mixed(f: pd.DataFrame, out: np.ndarray) -> None:
+        x = Flat(f)
+        mix = _mixture(x, idf, levels, leaf)[x.doc_of[x.sent_of]]
+        for c in range(k):
+            out[:, c] += np.bincount(x.terms, weights=mix[:, c], minlength=v)
+
+    by_leaf = _summed(rows, (v, k), mixed)
+    start = blend * by_leaf * (given.sum() / max(by_leaf.sum(), 1e-12)) + given
+    fitted = Fitted(names, terms, idf, levels, leaf, Model(start, given.sum(1), silent, 0.337), power)
     for _ in range(rounds):
 
         def judged(f: pd.DataFrame, out: np.ndarray, fitted: Fitted = fitted) -> None:
@@ -288,7 +309,7 @@ def fit(docs: DataFrame, ratings: DataFrame, names: list[str], key: str = "doc_i
             out[:, k + 1] += np.bincount(x.terms[sure[s]], minlength=v)
 
         got = _summed(rows, (v, k + 2), judged)
-        fitted = Fitted(names, terms, idf, levels, leaf, Model(got[:, :k], got[:, k], got[:, k + 1], 0.29), power)
+        fitted = Fitted(names, terms, idf, levels, leaf, Model(got[:, :k] + keep * given, got[:, k] + keep * given.sum(1), got[:, k + 1] + keep * silent, 0.29), power)
     return rows, fitted
 
 

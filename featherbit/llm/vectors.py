@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-FEW = 6
-
 
 def usable(df: DataFrame, key: str, vec: str, dims: int = 64) -> DataFrame:
     """(id, v ARRAY<FLOAT>) of the rows whose vector has all its numbers, all finite, and isn't zero. One row per id.
@@ -21,10 +19,10 @@ def usable(df: DataFrame, key: str, vec: str, dims: int = 64) -> DataFrame:
     return C.once(rows, "id", ["v"])
 
 
-def directions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def directions(rows: DataFrame, few: int = 1) -> tuple[DataFrame, DataFrame]:
     """(c, v, n, few) of every distinct direction and (id, c) of every row, both cut.
 
-    Rows whose unit vectors agree as floats are copies: c is their smallest id, few their ``FEW`` smallest. A group of copies
+    Rows whose unit vectors agree as floats are copies: c is their smallest id, few the ``few`` smallest. A group of copies
     that holds a third of all rows is so one vector to all that follows.
     """
     norm = F.aggregate("v", F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double"))
@@ -32,6 +30,6 @@ def directions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     hashed = C.cut(unit.select("id", "v", F.xxhash64("u").alias("h"), F.hash("u").alias("g")).withColumn("k", F.concat_ws("_", "h", "g")).drop("h", "g"))
     groups = C.cut(hashed.groupBy("k").agg(F.min("id").alias("c"), F.count("*").alias("n"), F.min_by("v", "id").alias("v")))
     members = C.cut(C.heavy_join(hashed.select("k", "id"), groups.select("k", "c", "n"), "k", "n").select("id", "c"))
-    first = members.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy("id"))).where(F.col("r") <= FEW)
-    few = first.groupBy("c").agg(F.array_sort(F.collect_list("id")).alias("few"))
-    return C.cut(groups.join(few, "c").select("c", "v", "n", "few")), members
+    first = members.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy("id"))).where(F.col("r") <= few)
+    least = first.groupBy("c").agg(F.array_sort(F.collect_list("id")).alias("few"))
+    return C.cut(groups.join(least, "c").select("c", "v", "n", "few")), members

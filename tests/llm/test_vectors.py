@@ -48,6 +48,18 @@ def test_blocks_and_prefixes_do_not_matter(spark, monkeypatch):
     assert sorted(map(tuple, neighbours.nearest(df).collect())) == once
 
 
+def test_many_copies_and_large_k(spark):
+    """20 equal vectors and k = 10: each has ten neighbours; k over the number of vectors gives all."""
+    rng = np.random.default_rng(1)
+    x = [rng.standard_normal(64).tolist()] * 20 + rng.standard_normal((5, 64)).tolist()
+    df = frame(spark, list(enumerate(x)))
+    got = {}
+    for r in sorted(neighbours.nearest(df, k=10).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["id"], []).append(r["other"])
+    assert got == {i: [j for j in range(20) if j != i][:10] for i in range(20)}
+    assert neighbours.nearest(df, k=50).count() == 20 * 19
+
+
 def test_clusters(spark):
     x, rows = made()
     s = truth(x)
