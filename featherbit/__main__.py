@@ -18,8 +18,12 @@ class TrainTest(argparse.Action):
         setattr(namespace, self.dest, values)
 
 
-def report(epoch: int, train: float, test: float | None) -> None:
-    print(json.dumps({"epoch": epoch, "test": test, "train": train}))
+def report(epoch: int, train: float, test: float | None, seconds: float) -> None:
+    print(json.dumps({"epoch": epoch, "test": test, "train": train, "seconds": round(seconds, 3)}))
+
+
+def iteration(number: int, objective: float, seconds: float) -> None:
+    print(json.dumps({"iteration": number, "objective": objective, "seconds": round(seconds, 3)}))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -58,6 +62,7 @@ def parser() -> argparse.ArgumentParser:
     for o, kind, default in (("--max-df", float, 1.0), ("--min-df", float, 0.0), ("--max-len", int, 20), ("--min-len", int, 2), ("--ngrams", int, 1), ("--cgrams", int, 0)):
         p.add_argument(o, type=kind, default=default)
     p.add_argument("--compress", nargs=3, metavar=("HIDDEN", "ITERATIONS", "EPS"))
+    p.add_argument("--supervision", type=float, default=0.0)
     for name in ("classifier", "encoder"):
         p = command(create, name)
         for o in ("--cache", "--name", "--modeler"):
@@ -154,7 +159,9 @@ def main(argv: list[str] | None = None) -> None:
         params = Params(a.max_df, a.min_df, a.max_len, a.min_len, a.ngrams, a.cgrams)
         more = dict(zip(("hidden", "iterations", "eps"), (int(a.compress[0]), int(a.compress[1]), float(a.compress[2])), strict=True)) if a.compress else {}
         rows = readers.lines(spark, *a.sentences) if a.sentences else readers.samples(spark, *a.samples, numeric=False).withColumn("doc_id", F.monotonically_increasing_id())
-        pipelines.create_modeler(Registry(spark, a.cache), a.name, params, rows, **more)
+        if a.supervision and not (a.compress and a.samples):
+            parser().error("--supervision needs --compress and --samples")
+        pipelines.create_modeler(Registry(spark, a.cache), a.name, params, rows, **more, supervision=a.supervision, report=iteration)
     elif a.what == "classifier":
         parts = [readers.samples(spark, x, numeric=False).withColumn("doc_id", F.monotonically_increasing_id()) for x in a.samples]
         pipelines.create_classifier(Registry(spark, a.cache), a.name, a.modeler, parts[0], settings(a), test=parts[1] if len(parts) > 1 else None, report=report)

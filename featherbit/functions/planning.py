@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
@@ -44,6 +44,22 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """``df`` with dense numbers from 0 by ``order``: ranges are counted, and each row's number is its range's start plus its place."""
+    parts = cut(df.repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
+    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
+    return parts.withColumn("_r", place).join(F.broadcast(starts), "_p").withColumn(name, (F.col("_start") + F.col("_r")).cast("bigint")).drop("_p", "_r", "_start")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan of fewer tasks than cores (one small file) dealt out to all cores; any other as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with a column that is evaluated once per row.
 

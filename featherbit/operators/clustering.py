@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.planning import cut
+from ..functions.planning import cut, numbered, ship
 from ..functions.scalars import dot, normalised
 from .similarity import extremes, neighbourhoods, top_k
 
@@ -33,19 +35,20 @@ def update(rows: DataFrame, assigned: DataFrame) -> DataFrame:
     sums = parts.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("s"))
     total = F.round(dot(F.col("v"), F.col("s")), 9)
     scored = members.join(sums, "cluster").select("cluster", "i", total.alias("total"))
-    return scored.groupBy("cluster").agg((-F.max(F.struct("total", -F.col("i")))["col2"]).alias("i"), F.max("total").alias("total"))
+    return scored.groupBy("cluster").agg(F.min_by("i", F.struct(-F.col("total"), "i")).alias("i"), F.max("total").alias("total"))
 
 
 def choose(weights: DataFrame, r: float) -> DataFrame:
     """weights(i, w) to the first i whose cumulative share reaches r.
 
-    The sums of 1,024 ranges of i come first, then only the range that r falls into is summed row by row.
+    The sums of 1,024 ranges of i come first, then only the range that r falls into is summed row by row. Ids may lie anywhere
+    in 64 bits: ranges are told apart in floating point, which keeps their order.
     """
     edge = weights.agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.sum("w").alias("all")).first()
     if not edge["all"]:
         return weights.select("i").limit(0)
-    step = (edge["hi"] - edge["lo"]) // 1024 + 1
-    part = weights.withColumn("p", F.floor((F.col("i") - F.lit(edge["lo"])) / F.lit(step)))
+    step = (edge["hi"] - edge["lo"]) / 1024 + 1
+    part = weights.withColumn("p", F.floor((F.col("i").cast("double") - F.lit(float(edge["lo"]))) / F.lit(step)))
     at, chosen = 0.0, None
     for p in part.groupBy("p").agg(F.sum("w").alias("w")).orderBy("p").collect():
         chosen = p["p"]
@@ -57,49 +60,70 @@ def choose(weights: DataFrame, r: float) -> DataFrame:
     return inside.agg(F.coalesce(F.min(F.when(F.col("c") >= r, F.col("i"))), F.max("i")).alias("i"))
 
 
-def seeds(rows: DataFrame, k: int, seed: int = 0) -> list[int]:
-    """First uniform, then each in proportion to 1 minus the greatest similarity to those chosen; never one chosen before."""
+def seeds(rows: DataFrame, k: int, seed: int = 0, rounds: int = 8) -> list[int]:
+    """First uniform, then in proportion to 1 minus the greatest similarity to those chosen; never one chosen before.
+
+    Up to rounds + 1 seeds are drawn one by one; more are drawn several per round from the weights of its start (a weighted
+    sample without replacement: the least of -log(u) / w, u by hash), so any k takes ``rounds`` passes.
+    """
     rng = np.random.default_rng(seed)
+    ship(rows.sparkSession)
     chosen = [choose(rows.select("i", F.lit(1.0).alias("w")), rng.random()).first()["i"]]
-    nearest = rows.select("i", "v", F.lit(-1.0).alias("near"))
-    for _ in range(k - 1):
-        v = [float(x) for x in rows.where(F.col("i") == chosen[-1]).first()["v"]]
-        sim = dot(F.col("v"), F.array(*[F.lit(x) for x in v]))
-        nearest = cut(nearest.select("i", "v", F.greatest("near", sim).alias("near")))
+    nearest, per = rows.select("i", "v", F.lit(-1.0).alias("near")), math.ceil((k - 1) / rounds)
+    fresh = chosen
+    while len(chosen) < k:
+        new = np.stack([np.asarray(r["v"], dtype=np.float64) for r in rows.where(F.col("i").isin(fresh)).select("v").collect()])  # at most `per` rows
+
+        def update(frames: Iterator[pd.DataFrame], new: np.ndarray = new) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                s = (np.stack(f["v"].to_numpy()) @ new.T).max(1) if len(f) else np.zeros(0)
+                yield f.assign(near=np.maximum(f["near"].to_numpy(), np.round(s, 9)))
+
+        nearest = cut(nearest.mapInPandas(update, "i bigint, v array<double>, near double"))
         weight = F.when(F.col("i").isin(chosen), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("near")))
-        pick = choose(nearest.select("i", weight.alias("w")).where("w > 0"), rng.random()).first()
-        if pick is None or pick["i"] is None:
+        left = nearest.select("i", weight.alias("w")).where("w > 0")
+        if per <= 1:
+            pick = choose(left, rng.random()).first()
+            fresh = [] if pick is None or pick["i"] is None else [pick["i"]]
+        else:
+            u = (F.pmod(F.xxhash64("i", F.lit(int(rng.integers(1 << 62)))), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+            fresh = [r["i"] for r in left.orderBy(-F.log(u) / F.col("w"), "i").limit(min(per, k - len(chosen))).collect()]
+        if not fresh:
             break
-        chosen.append(pick["i"])
+        chosen = chosen + fresh
     return chosen
 
 
 def _medoids(rows: DataFrame, ids: list[int]) -> DataFrame:
-    number = F.coalesce(*[F.when(F.col("i") == i, F.lit(c)) for c, i in enumerate(ids)])
-    return cut(rows.where(F.col("i").isin(ids)).select(number.cast("bigint").alias("cluster"), "v"))
+    """(cluster, v) of the rows with these ids, numbered as listed: a table of one row per cluster."""
+    number = rows.sparkSession.createDataFrame(list(zip(ids, range(len(ids)), strict=True)), "i bigint, cluster bigint")
+    return cut(rows.join(F.broadcast(number), "i").select("cluster", "v"))
 
 
-def k_medoids(rows: DataFrame, k: int, n_closest: int = 1, seed: int = 0, rounds: int = 50) -> DataFrame:
+def k_medoids(rows: DataFrame, k: int, n_closest: int = 1, seed: int = 0, rounds: int = 200, start: list[int] | None = None) -> DataFrame:
     """(i, cluster, sim, rank): the n_closest clusters of each row. k over the rows means one per row.
 
-    Ends when no row changes its cluster. A cluster that lost all members takes the row least similar to its own medoid.
+    Ends when no row changes its cluster, and raises if that isn't so after ``rounds``. A cluster that lost all members takes the
+    row least similar to its own medoid. ``start`` names the first medoids instead of drawing them.
     """
     if k < 1 or n_closest < 1:
         raise ValueError("k and n_closest must be 1 or more")
     rows = cut(rows)
-    ids = seeds(rows, min(k, rows.count()), seed)
+    if rows.isEmpty():
+        return rows.sparkSession.createDataFrame([], "i bigint, cluster bigint, sim double, rank int")
+    ids = start or seeds(rows, min(k, rows.count()), seed)
     before = None
     for _ in range(rounds):
         medoids = _medoids(rows, ids)
         now = cut(assign(rows, medoids))
         if before is not None and now.join(before.select("i", F.col("cluster").alias("was")), "i").where("cluster <> was").isEmpty():
-            break
+            return top_k(rows, medoids.select(F.col("cluster").alias("j"), "v"), n_closest).withColumnRenamed("j", "cluster")
         before = now
         best = {r["cluster"]: r["i"] for r in update(rows, now).collect()}  # k rows
         empty = [c for c in range(len(ids)) if c not in best]
         far = [r["i"] for r in now.orderBy("sim", "i").limit(len(empty) + len(ids)).collect() if r["i"] not in best.values()] if empty else []
         ids = [best.get(c) if c in best else far.pop(0) if far else ids[c] for c in range(len(ids))]
-    return top_k(rows, medoids.select(F.col("cluster").alias("j"), "v"), n_closest).withColumnRenamed("j", "cluster")
+    raise RuntimeError(f"clusters still change after {rounds} rounds")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -126,7 +150,7 @@ def dbscan_labels(near: DataFrame, min_pts: int) -> DataFrame:
     core = cut(near.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= min_pts).select("i"))
     linked = near.join(core, "i").join(core.select(F.col("i").alias("j")), "j").select("i", "j")
     labels = components(linked)
-    number = labels.select("label").distinct().select("label", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("label")).alias("cluster"))  # one row per cluster
+    number = numbered(labels.select("label").distinct(), "label", "cluster").withColumn("cluster", F.col("cluster") + 1)
     cores = cut(labels.join(number, "label").select("i", "cluster"))
     reached = near.join(cores.select(F.col("i").alias("j"), "cluster"), "j").groupBy("i").agg(F.min("cluster").alias("cluster"))
     points = near.select("i").distinct()

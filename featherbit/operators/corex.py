@@ -1,8 +1,8 @@
 """Unsupervised bit compressor: total correlation explanation over binary features (Ver Steeg and Galstyan, 2014).
 
 Each hidden unit explains the features whose mutual information with it is greatest. An iteration is one pass: every task
-computes the units' probabilities for its rows and sums them per feature and unit; the driver gets features times units numbers
-and updates the conditional probabilities. The objective is the mean log normaliser of the units, a bound on the total
+computes the units' probabilities for its rows and sums them per feature and unit; the sums move as one block per unit; the
+driver gets features times units numbers and updates the conditional probabilities. The objective is the mean log normaliser of the units, a bound on the total
 correlation explained.
 """
 
@@ -39,21 +39,38 @@ class Compressor:
         return np.exp(s[1] - z), z
 
 
-def fit(rows: DataFrame, bits: int, hidden: int, iterations: int = 20, eps: float = 1e-4, seed: int = 0, each: Callable[[int, float], bool | None] | None = None) -> Compressor:
-    """rows(ids). Stops when the objective has settled, or when ``each(iteration, objective)`` returns False."""
+def _summed(parts: DataFrame) -> DataFrame:
+    """parts(u, x BINARY of doubles) to one row per u with their sum: first in 16 parts, then those."""
+
+    def add(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"u": f["u"][:1], "x": [sum(np.frombuffer(b) for b in f["x"]).tobytes()]})
+
+    some = parts.withColumn("p", F.pmod(F.spark_partition_id(), F.lit(16))).groupBy("u", "p").applyInPandas(lambda f: add(f), "u int, x binary")
+    return some.groupBy("u").applyInPandas(add, "u int, x binary")
+
+
+def fit(rows: DataFrame, bits: int, hidden: int, iterations: int = 20, eps: float = 1e-4, seed: int = 0, each: Callable[[int, float], bool | None] | None = None, classes: int = 0, supervision: float = 0.0) -> Compressor:
+    """rows(ids), with ``supervision`` also label_id in 0 .. classes - 1: labels then count as features of that weight while
+    fitting; the compressor itself reads none. Stops when the objective has settled, or ``each(iteration, objective)`` returns False."""
     ship(rows.sparkSession)
+    if supervision and not classes:
+        raise ValueError("supervision needs the number of classes")
     rng = np.random.default_rng(seed)
     model: Compressor | None = None
-    start = rng.random((hidden, bits)) - 0.5
+    wide = bits + (classes if supervision else 0)
+    start = rng.random((hidden, wide)) - 0.5
     history: list[float] = []
     n_rows, px = 0.0, None
     for it in range(iterations):
 
         def work(frames: Iterator[pd.DataFrame], model: Compressor | None = model) -> Iterator[pd.DataFrame]:
-            joint, y1, x1, n, z = np.zeros((hidden, bits)), np.zeros(hidden), np.zeros(bits), 0, 0.0
+            joint, y1, x1, n, z = np.zeros((hidden, wide)), np.zeros(hidden), np.zeros(wide), 0, 0.0
             for f in frames:
                 for at in range(0, len(f), 1000):
-                    x = dense(list(f["ids"].iloc[at : at + 1000]), bits).astype(np.float32)
+                    part = f.iloc[at : at + 1000]
+                    x = dense(list(part["ids"]), bits).astype(np.float32)
+                    if wide > bits:
+                        x = np.concatenate([x, np.eye(classes, dtype=np.float32)[part["label_id"].to_numpy(dtype=int)]], axis=1)
                     if model is None:
                         p = 1 / (1 + np.exp(-np.clip((x @ start.T) * 2, -30, 30)))
                     else:
@@ -61,30 +78,30 @@ def fit(rows: DataFrame, bits: int, hidden: int, iterations: int = 20, eps: floa
                         z += log.sum()
                     joint, y1, x1, n = joint + p.T @ x, y1 + p.sum(0), x1 + x.sum(0), n + len(x)
             if n:
-                whole = np.concatenate([joint, y1[:, None]], axis=1)
-                last = np.concatenate([x1, [n]])
-                yield pd.DataFrame({"u": range(hidden + 1), "x": [*whole.tolist(), last.tolist()], "z": [z / (hidden + 1)] * (hidden + 1)})
-
-        each_at = rows.select("ids").mapInPandas(work, "u int, x array<double>, z double").select("u", "z", F.posexplode("x").alias("i", "v"))
-        got = each_at.groupBy("u", "i").agg(F.sum("v").alias("v"), F.sum("z").alias("z")).toPandas()  # units times features
-        whole = np.zeros((hidden + 1, bits + 1))
-        whole[got["u"], got["i"]] = got["v"]
-        n_rows, px = whole[hidden, bits], whole[hidden, :bits]
-        if not n_rows:
+                whole = np.concatenate([joint, y1[:, None], np.zeros((hidden, 1))], axis=1)
+                last = np.concatenate([x1, [n, z]])
+                yield pd.DataFrame({"u": np.arange(hidden + 1, dtype=np.int32), "x": [r.tobytes() for r in (*whole, last)]})
+
+        cols = ["ids", *(["label_id"] if wide > bits else [])]
+        got = _summed(rows.select(*cols).mapInPandas(work, "u int, x binary")).collect()  # a row per unit
+        if not got:
             raise ValueError("no rows")
+        whole = np.stack([np.frombuffer(bytes(r["x"])) for r in sorted(got, key=lambda r: r["u"])])
+        n_rows, z, px = whole[hidden, wide], whole[hidden, wide + 1], whole[hidden, :wide]
         px = (px + 0.5) / (n_rows + 1)
-        joint, py = whole[:hidden, :bits], np.clip((whole[:hidden, bits] + 0.5) / (n_rows + 1), 1e-6, 1 - 1e-6)
-        p1 = np.stack([(whole[hidden, :bits] - joint + px) / (n_rows * (1 - py[:, None]) + 1), (joint + px) / (n_rows * py[:, None] + 1)])
+        joint, py = whole[:hidden, :wide], np.clip((whole[:hidden, wide] + 0.5) / (n_rows + 1), 1e-6, 1 - 1e-6)
+        p1 = np.stack([(whole[hidden, :wide] - joint + px) / (n_rows * (1 - py[:, None]) + 1), (joint + px) / (n_rows * py[:, None] + 1)])
         p1 = np.clip(p1, 1e-6, 1 - 1e-6)
         on, off = np.log(p1 / px), np.log((1 - p1) / (1 - px))
         mutual = sum(w[:, None] * (p1[y] * on[y] + (1 - p1[y]) * off[y]) for y, w in ((0, 1 - py), (1, py)))
         weight = np.exp(min(it, 10) * 0.5 * (mutual - mutual.max(0)) / (mutual.std() + 1e-9))
+        weight[:, bits:] *= supervision
         model = Compressor(on * weight, off * weight, np.log(np.stack([1 - py, py])), history)
         if it:
-            history.append(float(got.loc[got["i"] == 0, "z"].sum() / n_rows))
+            history.append(float(z / n_rows))
             if (each and each(it, history[-1]) is False) or early_stop(history, eps):
                 break
-    return model
+    return Compressor(model.on[:, :, :bits], model.off[:, :, :bits], model.prior, history) if model else model
 
 
 def compress(rows: DataFrame, model: Compressor, bits: int, key: str = "doc_id") -> DataFrame:

@@ -69,6 +69,6 @@ def extremes(left: DataFrame, right: DataFrame) -> DataFrame:
 
     met = _by_blocks(left, right, keep, BLOCK)
     return met.groupBy("i").agg(
-        (-F.max_by(-F.col("j"), F.struct("sim", -F.col("j")))).alias("nearest"), F.max("sim").alias("nearest_sim"),
+        F.min_by("j", F.struct(-F.col("sim"), "j")).alias("nearest"), F.max("sim").alias("nearest_sim"),
         F.min_by("j", F.struct("sim", "j")).alias("furthest"), F.min("sim").alias("furthest_sim"),
     )

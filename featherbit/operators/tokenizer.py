@@ -76,10 +76,15 @@ def with_words(docs: DataFrame, p: Params, key: str, text: str) -> DataFrame:
     return computed(docs.select(key, F.col(text).alias("_t")), "ws", words(F.col("_t"), p)).select(key, "ws")
 
 
+def _counts(docs: DataFrame, p: Params, key: str, text: str) -> DataFrame:
+    """(token, df), with the number of documents as the df of the empty token."""
+    found = computed(with_words(docs, p, key, text), "fs", F.concat(F.array(F.lit("")), F.array_distinct(features("ws", p))))
+    return found.select(F.explode("fs").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+
 def document_frequency(docs: DataFrame, p: Params, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(token, df): distinct features per document before the shuffle, then partial and final counts."""
-    found = computed(with_words(docs, p, key, text), "fs", F.array_distinct(features("ws", p)))
-    return found.select(F.explode("fs").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    return _counts(docs, p, key, text).where("token <> ''")
 
 
 class Vocabulary:
@@ -92,9 +97,10 @@ class Vocabulary:
         """Adds documents; may be called again until finalised. Counts are merged, so the order of batches doesn't matter."""
         if self.finalized:
             raise ValueError("the vocabulary is finalised")
-        new = document_frequency(docs, self.params, key, text)
+        counts = cut(_counts(docs, self.params, key, text))  # documents and tokens in one scan
+        whole, new = counts.where("token = ''").first(), counts.where("token <> ''")
         merged = new if self.df is None else self.df.select("token", "df").unionByName(new).groupBy("token").agg(F.sum("df").alias("df"))
-        return Vocabulary(self.params, self.n_docs + docs.count(), merged)
+        return Vocabulary(self.params, self.n_docs + (whole["df"] if whole else 0), merged)
 
     def pruned(self) -> DataFrame:
         share = F.col("df") / F.lit(float(max(1, self.n_docs)))
@@ -120,12 +126,21 @@ class Vocabulary:
         return self.df.count()
 
 
+def _joined(each: DataFrame, vocabulary: Vocabulary, cols: list[str], how: str, share: float = 0.01) -> DataFrame:
+    """each(token, ...) joined to the vocabulary's ``cols``. Tokens in over a hundredth of the documents are broadcast and their
+    rows stay where they are: there are at most 100 times as many as features in an average document."""
+    hot = vocabulary.df.where(F.col("df") >= max(1000.0, share * vocabulary.n_docs)).select(*cols)
+    cold = vocabulary.df.where(F.col("df") < max(1000.0, share * vocabulary.n_docs)).select(*cols)
+    light = each.join(F.broadcast(hot.select("token")), "token", "left_anti").join(cold, "token", how)
+    return light.unionByName(each.join(F.broadcast(hot), "token", how))
+
+
 def _known_features(docs: DataFrame, vocabulary: Vocabulary, key: str, text: str) -> DataFrame:
     """(key, fs): the inference features of every document by joins; documents without any known word have none."""
     p = vocabulary.params
     base = with_words(docs, p, key, text)
     each = base.select(key, F.posexplode("ws").alias("pos", "token"))
-    known = each.join(vocabulary.df.select("token"), "token", "left_semi")
+    known = _joined(each, vocabulary, ["token"], "left_semi")
     ordered = known.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("ws"))
     return computed(ordered, "fs", features("ws", p)).select(key, "fs")
 
@@ -133,14 +148,14 @@ def _known_features(docs: DataFrame, vocabulary: Vocabulary, key: str, text: str
 def joined_fingerprints(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids): for vocabularies of any size."""
     found = computed(_known_features(docs, vocabulary, key, text), "one", F.array_distinct("fs")).select(key, F.explode("one").alias("token"))
-    ids = found.join(vocabulary.df.select("token", "id"), "token").groupBy(key).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    ids = _joined(found, vocabulary, ["token", "id"], "inner").groupBy(key).agg(F.array_sort(F.collect_list("id")).alias("ids"))
     return docs.select(key).join(ids, key, "left").select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
 def joined_parse(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, tokens): known features in order, with repeats."""
     each = _known_features(docs, vocabulary, key, text).select(key, F.posexplode("fs").alias("pos", "token"))
-    known = each.join(vocabulary.df.select("token"), "token", "left_semi")
+    known = _joined(each, vocabulary, ["token"], "left_semi")
     lists = known.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tokens"))
     return docs.select(key).join(lists, key, "left").select(key, F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
 

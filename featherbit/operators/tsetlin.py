@@ -1,9 +1,10 @@
 """Tsetlin machines: a classifier over labelled fingerprints and an encoder over triplets of them.
 
 A machine has heads (one per class, or one per output bit), each with clauses over the features and their complements. Training
-is data-parallel: in an epoch every task starts from the same states and learns from its own rows one by one; the changes are
-summed by head on the executors, weighted by rows, and their mean is applied. What the driver holds is the model, whatever the
-number of rows. The range of specificity is spread evenly over the clauses. All randomness comes from the seed.
+is data-parallel: rows are dealt to a fixed number of shards by a hash of what they hold; in an epoch every shard starts from the
+same states and learns from its own rows one by one; the changes are summed by head on the executors, weighted by rows, and
+their mean is applied, fractions included. Shards are a setting of the model: the result doesn't depend on partitions or cores.
+What the driver holds is the model, whatever the number of rows. The range of specificity is spread evenly over the clauses. All randomness comes from the seed.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.planning import ship
+from ..functions.planning import cut, ship
 from .bits import dense
 
 
@@ -34,6 +35,7 @@ class Settings:
     seed: int = 0
     margin: float = 0.1
     alpha: float = 0.25
+    shards: int = 8
 
     def __post_init__(self) -> None:
         if self.clauses < 2 or self.clauses % 2 or self.target < 1 or not 2 <= self.state_bits <= 15:
@@ -92,32 +94,42 @@ def _epochs(rows: DataFrame, machine: Machine, learn: Callable[[Machine, pd.Data
     """Iterations over ``rows``; ``each`` gets the epoch and the machine and may return False to stop."""
     ship(rows.sparkSession)
     s, bits, sc = machine.s, machine.bits, rows.sparkSession.sparkContext
+    cols = rows.columns
+    dealt = rows.withColumn("_h", F.xxhash64(*cols, F.lit(s.seed))).withColumn("_s", F.pmod("_h", F.lit(s.shards)).cast("int"))
+    dealt = cut(dealt.repartition(s.shards, "_s").sortWithinPartitions("_s", "_h", *cols))
+    exact = machine.states.astype(np.float64)
     for epoch in range(1, s.iterations + 1):
         held = sc.broadcast(machine.states)  # of the model's size
 
         def work(frames: Iterator[pd.DataFrame], held=held, epoch: int = epoch) -> Iterator[pd.DataFrame]:
-            import pyspark
+            shard, own, n, rng = -1, None, 0, None
+
+            def change() -> pd.DataFrame:
+                x = (own.states - held.value).astype(np.float32) * n
+                return pd.DataFrame({"s": shard, "h": np.arange(len(x), dtype=np.int32), "n": n, "x": [c.tobytes() for c in x]})
 
-            at = pyspark.TaskContext.get()
-            rng = np.random.default_rng([s.seed, epoch, at.partitionId() if at else 0])
-            own, n = Machine(0, bits, s, held.value.copy()), 0
             for f in frames:
-                learn(own, f.iloc[rng.permutation(len(f))], rng)
-                n += len(f)
+                for at, part in f.groupby("_s", sort=True):  # shards follow one another
+                    if at != shard:
+                        if n:
+                            yield change()
+                        shard, own, n, rng = at, Machine(0, bits, s, held.value.copy()), 0, np.random.default_rng([s.seed, epoch, int(at)])
+                    for k in range(0, len(part), 1000):  # the order is that of the hash, whatever the batches
+                        learn(own, part.iloc[k : k + 1000], rng)
+                    n += len(part)
             if n:
-                change = (own.states - held.value).astype(np.float32) * n
-                yield pd.DataFrame({"h": np.arange(len(change), dtype=np.int32), "n": n, "x": [c.tobytes() for c in change]})
+                yield change()
 
         def add(f: pd.DataFrame) -> pd.DataFrame:
             x = sum(np.frombuffer(b, dtype=np.float32) for b in f["x"])
             return pd.DataFrame({"h": f["h"][:1], "n": f["n"].sum(), "x": [x.astype(np.float32).tobytes()]})
 
-        part = rows.mapInPandas(work, "h int, n bigint, x binary")
-        pre = part.withColumn("p", F.pmod(F.spark_partition_id(), F.lit(16))).groupBy("h", "p").applyInPandas(lambda f: add(f), "h int, n bigint, x binary")
-        states = machine.states.copy()
+        part = dealt.mapInPandas(work, "s int, h int, n bigint, x binary")
+        pre = part.withColumn("p", F.pmod("s", F.lit(16))).drop("s").groupBy("h", "p").applyInPandas(lambda f: add(f), "h int, n bigint, x binary")
         for r in pre.groupBy("h").applyInPandas(add, "h int, n bigint, x binary").collect():  # one row per head
-            states[r["h"]] += np.rint(np.frombuffer(r["x"], dtype=np.float32).reshape(states[0].shape) / max(1, r["n"])).astype(np.int16)
-        machine = Machine(0, bits, s, np.clip(states, 1, 2 * machine.half))
+            exact[r["h"]] += np.frombuffer(r["x"], dtype=np.float32).reshape(exact[0].shape) / max(1, r["n"])
+        exact = np.clip(exact, 1, 2 * machine.half)
+        machine = Machine(0, bits, s, np.rint(exact).astype(np.int16))
         if each and epoch % s.evaluate_every == 0 and each(epoch, machine) is False:
             break
     return machine
@@ -224,11 +236,29 @@ def encode(rows: DataFrame, machine: Machine, key: str = "doc_id", ids: str = "i
 
 
 def vote(prints: DataFrame, clauses: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Inference as SQL: prints(key, ids), clauses(class, sign, present ARRAY, absent ARRAY) to (key, class, votes).
+    """prints(key, ids), clauses(class, sign, present ARRAY, absent ARRAY) to (key, class, votes): a row per class.
 
-    The clauses are a model: few rows, checked before they are broadcast; a larger set is joined without a hint.
+    The clauses are a model: they go to the workers as two matrices, and no row is shuffled.
     """
-    few = clauses.count() <= 100_000
-    both = prints.crossJoin(F.broadcast(clauses) if few else clauses)
-    fires = (F.size(F.array_except("present", "ids")) == 0) & ~F.arrays_overlap("absent", "ids")
-    return both.groupBy(key, "class").agg(F.sum(F.when(fires, F.col("sign")).otherwise(0)).alias("votes"))
+    spark = prints.sparkSession
+    ship(spark)
+    got = clauses.select("class", F.col("sign").cast("double"), "present", "absent").toPandas()  # of the model's size
+    names = sorted(set(got["class"]))
+    bits = 1 + max((int(i) for c in ("present", "absent") for x in got[c] for i in x), default=0)
+    sides = [dense(list(got[c]), bits).astype(np.float32) for c in ("present", "absent")]
+    signs = np.zeros((len(got), len(names)), dtype=np.float32)
+    signs[np.arange(len(got)), [names.index(c) for c in got["class"]]] = got["sign"]
+    held = spark.sparkContext.broadcast((*sides, signs))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        present, absent, sign = held.value
+        for f in frames:
+            for at in range(0, len(f), 1000):
+                part = f.iloc[at : at + 1000]
+                x = dense([np.asarray(i)[np.asarray(i, dtype=np.int64) < bits] for i in part["ids"]], bits).astype(np.float32)
+                fires = ((1 - x) @ present.T < 0.5) & (x @ absent.T < 0.5)
+                votes = np.rint(fires.astype(np.float32) @ sign).astype(np.int64)
+                yield pd.DataFrame({key: np.repeat(part[key].to_numpy(), len(names)), "class": np.tile(np.array(names, dtype=object), len(part)), "votes": votes.ravel()})
+
+    kinds = dict(clauses.dtypes)
+    return prints.select(key, "ids").mapInPandas(run, f"{key} {prints.schema[key].dataType.simpleString()}, class {kinds['class']}, votes bigint")

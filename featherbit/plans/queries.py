@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.planning import computed, cut
+from ..functions.planning import computed, cut, shared_folder, spread
 from ..operators import bits as bits_of
 from ..operators import clustering, corex, explore, preparation, ranking, similarity, tokenizer, tsetlin
+from ..sources import readers
+from ..sources.registry import Registry
+from . import pipelines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def joined(c: str) -> F.Column:
@@ -302,12 +307,12 @@ def label_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preparation.with_label_ids(docs, preparation.label_dictionary(docs, "doc_id", "source"), "source").groupBy("label_id").agg(F.count("*").alias("n"))
 
 
-@query("WITH t AS (SELECT DISTINCT source FROM documents WHERE doc_id % 2 = 0 AND source IS NOT NULL) SELECT source, count(*) AS n FROM documents WHERE doc_id % 2 = 1 AND source IS NOT NULL AND source NOT IN (SELECT source FROM t) GROUP BY source")
+@query("WITH t AS (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL), o AS (SELECT source FROM samples UNION ALL SELECT source FROM sentences) SELECT source, count(*) AS n FROM o WHERE source IS NOT NULL AND source NOT IN (SELECT source FROM t) GROUP BY source")
 def label_dict_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of the odd documents that a dictionary of the even ones doesn't know."""
-    docs = table(spark, sf_dir, "documents").where("source is not null")
-    known = preparation.label_dictionary(docs.where("doc_id % 2 = 0"), "doc_id", "source")
-    return docs.where("doc_id % 2 = 1").join(known.select(F.col("label").alias("source")), "source", "left_anti").groupBy("source").agg(F.count("*").alias("n"))
+    """Sources of samples and sentences that a dictionary of the documents' sources doesn't know."""
+    known = preparation.label_dictionary(table(spark, sf_dir, "documents").where("source is not null"), "doc_id", "source")
+    asked = table(spark, sf_dir, "samples").select("source").unionByName(table(spark, sf_dir, "sentences").select("source")).where("source is not null")
+    return asked.join(known.select(F.col("label").alias("source")), "source", "left_anti").groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_SAMPLES} SELECT (max(label) + 1)::BIGINT AS by_maximum, count(DISTINCT label) AS by_values FROM s")
@@ -415,16 +420,31 @@ def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.early_stops(days, "event_type", ["t"], "x", 0.5)
 
 
-@query("SELECT word_id, word FROM words_model WHERE word IN (SELECT token FROM tokenizer WHERE name = 'corpus_v2') OR word IN (SELECT word FROM words_model WHERE word_id % 3 = 0)")
+@query("SELECT word_id, word FROM words_model WHERE word IN (SELECT token FROM tokenizer WHERE name = 'corpus_v2') OR word IN (SELECT lower(unnest(regexp_extract_all(coalesce(anchor, ''), '[A-Za-z]+'))) FROM sentences)")
 def filter_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a saved vocabulary or the caption sentences hold."""
     w = table(spark, sf_dir, "words_model").select("word_id", "word")
-    listed = table(spark, sf_dir, "tokenizer").where("name = 'corpus_v2'").select(F.col("token").alias("word")).unionByName(w.where("word_id % 3 = 0").select("word"))
+    runs = F.regexp_extract_all(F.coalesce("anchor", F.lit("")), F.lit("([A-Za-z]+)"), F.lit(1))
+    said = table(spark, sf_dir, "sentences").select(F.explode(F.transform(runs, F.lower)).alias("word"))
+    listed = table(spark, sf_dir, "tokenizer").where("name = 'corpus_v2'").select(F.col("token").alias("word")).unionByName(said)
     return clustering.filter_words(w, listed)
 
 
-@query()
+@query("SELECT count(*) AS n_rows, 8::BIGINT AS clusters, 0::BIGINT AS misplaced, 0::BIGINT AS better_medoids, 0::BIGINT AS bad_ranks FROM embeddings")
 def kmedoids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.create(units(spark, sf_dir), "k-medoids", 8, 2)
+    """A whole clustering, and how often it breaks what a settled one must keep: rows not at their most similar medoid, clusters
+    with a better medoid than theirs, rows without two ranked clusters."""
+    rows = cut(units(spark, sf_dir))
+    got = cut(clustering.create(rows, "k-medoids", 8, 2))
+    own = got.where("rank = 1").select("i", "cluster", "sim")
+    medoids = own.groupBy("cluster").agg(F.min_by("i", F.struct(-F.col("sim"), "i")).alias("m"))
+    held = cut(medoids.join(rows.withColumnRenamed("i", "m"), "m"))
+    again = clustering.assign(rows, held.select("cluster", "v")).select("i", F.col("cluster").alias("best"))
+    misplaced = own.join(again, "i").where("cluster <> best").agg(F.count("*").alias("misplaced"))
+    best = clustering.update(rows, own).select("cluster", "i")
+    better = best.join(medoids, "cluster").where("i <> m").agg(F.count("*").alias("better_medoids"))
+    ranks = got.groupBy("i").agg(F.sort_array(F.collect_list("rank")).alias("r")).agg(F.count("*").alias("n_rows"), F.sum((F.col("r") != F.array(F.lit(1), F.lit(2))).cast("bigint")).alias("bad_ranks"))
+    return ranks.crossJoin(medoids.agg(F.count("*").alias("clusters"))).crossJoin(misplaced).crossJoin(better)  # of one row each
 
 
 # learning
@@ -448,7 +468,7 @@ _SMALL = tokenizer.Params(max_df=0.7, min_df=0.02, max_len=20, min_len=2, ngrams
 def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """Documents as fingerprints of words, labelled by whether they are said to be in English."""
     lang = F.when(F.lower(F.substring("lang", 1, 2)) == "en", "english").otherwise("other")
-    docs = table(spark, sf_dir, "documents").where("lang is not null and text is not null").withColumn("kind", lang)
+    docs = cut(spread(table(spark, sf_dir, "documents").where("lang is not null and text is not null").select("doc_id", "text", lang.alias("kind"))))
     v = tokenizer.Vocabulary(_SMALL).train(docs).finalize()
     prints = tokenizer.fingerprints(docs, v).join(docs.select("doc_id", "kind"), "doc_id")
     return cut(prints.select("doc_id", "ids", F.col("kind").alias("label"), (F.col("kind") == "other").cast("int").alias("label_id"))), v.size()
@@ -475,14 +495,15 @@ def compress_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoder_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of triplets whose codes put the anchor nearer to the positive sentence, after training on nine tenths."""
     t = _triples(spark, sf_dir).where("size(a) > 0 and size(p) > 0 and size(n) > 0")
+    t = cut(t)
     words = t.select(F.explode(F.array_distinct(F.concat("a", "p", "n"))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    total = t.count()
-    kept = [r["token"] for r in words.where(F.col("df") >= 0.02 * total).orderBy(F.desc("df"), "token").limit(512).collect()]
-    known = F.array(*[F.lit(w) for w in kept])
-    ids = lambda c: F.array_sort(F.transform(F.array_intersect(c, known), lambda w: (F.array_position(known, w) - 1).cast("int")))
+    known = tokenizer.Vocabulary(tokenizer.Params(min_df=0.01), t.count(), words).finalize()
+    of = {r["token"]: r["id"] for r in known.df.collect()}  # at most 100 times as many as words in a triplet
+    number = F.create_map(*[F.lit(x) for w, i in of.items() for x in (w, i)])
+    ids = lambda c: F.array_sort(F.filter(F.transform(c, lambda w: number[w]), lambda i: i.isNotNull()))
     rows = cut(t.select("triplet_id", *[ids(c).alias(c) for c in "apn"]))
     train, test = ranking.train_test(rows, 2, ["triplet_id"], 0.9)
-    m = tsetlin.train_encoder(train, len(kept), 16, tsetlin.Settings(clauses=8, target=4, specificity_high=10.0, iterations=1))
+    m = tsetlin.train_encoder(train, len(of), 16, tsetlin.Settings(clauses=8, target=4, specificity_high=10.0, iterations=1))
     codes = [tsetlin.encode(test, m, "triplet_id", c).withColumnRenamed("code", f"y{c}") for c in "apn"]
     both = codes[0].join(codes[1], "triplet_id").join(codes[2], "triplet_id")
     nearer = S.hamming(F.col("ya"), F.col("yp")) < S.hamming(F.col("ya"), F.col("yn"))
@@ -491,6 +512,130 @@ def encoder_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def explore_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The draws of a search, with the reachable ones only."""
-    grid = explore.draws({"clauses": [16, 32, 64], "target": [4, 8, 16, 32], "specificity": [2, 5, 10]}, 0, 100, explore.fits)
-    return spark.createDataFrame([(explore.name_of(g), g["clauses"], g["target"], g["specificity"]) for g in grid], "name string, clauses int, target int, specificity int")
+    """A search over the classifier's options: every reachable draw is trained on four fifths and scored on the others, best first."""
+    rows, bits = _labelled(spark, sf_dir)
+    train, test = (cut(x) for x in ranking.train_test(rows, 1, ["doc_id"], 0.8))
+
+    def run(o: dict) -> float:
+        s = tsetlin.Settings(clauses=o["clauses"], target=o["target"], specificity_high=o["specificity"], iterations=1)
+        return tsetlin.accuracy(test, tsetlin.train_classifier(train, bits, 2, s))
+
+    found = explore.search({"clauses": [8, 16], "target": [4, 8, 16], "specificity": [5.0]}, run)
+    return spark.createDataFrame([(n, o["clauses"], o["target"], o["specificity"], score) for n, o, score in found], "name string, clauses int, target int, specificity double, score double")
+
+
+# text formats and saved models: the tables written in the formats and read again
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+_ONE_LINE = "regexp_replace(coalesce({}, ''), '[\\t\\n\\r]', ' ', 'g')"
+
+
+def _one_line(c: str) -> F.Column:
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"[\t\n\r]", " ")
+
+
+@query(f"SELECT text, count(*) AS n FROM (SELECT {_ONE_LINE.format('text')} AS text FROM documents) GROUP BY text")
+def lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    readers.write_fields(documents(spark, sf_dir).select(_one_line("text").alias("text")), path, "text")
+    return readers.lines(spark, path).groupBy("text").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, 0::BIGINT AS least, count(*) - 1 AS most, count(*) AS different FROM documents")
+def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of several files are numbered without gaps."""
+    path = _folder(spark)
+    readers.write_fields(documents(spark, sf_dir).select(_one_line("text").alias("text")), path, "text")
+    return readers.lines(spark, path).agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count_distinct("doc_id").alias("different"))
+
+
+@query(f"WITH {_SAMPLES} SELECT label, {_ONE_LINE.format('review')} AS text, count(*) AS n FROM s WHERE label IS NOT NULL GROUP BY ALL")
+def samples_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    readers.write_fields(samples(spark, sf_dir).where("label is not null").select("label", _one_line("text").alias("text")), path, "label", "text")
+    return readers.samples(spark, path).groupBy("label", "text").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT anchor, positive, negative, count(*) AS n FROM (SELECT {', '.join(f'{_ONE_LINE.format(c)} AS {c}' for c in ('anchor', 'positive', 'negative'))} FROM triplets) GROUP BY ALL")
+def triplets_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, cols = _folder(spark), ("anchor", "positive", "negative")
+    readers.write_fields(table(spark, sf_dir, "triplets").select(*[_one_line(c).alias(c) for c in cols]), path, *cols)
+    return readers.triplets(spark, path).groupBy(*cols).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_PAIRS} SELECT label, a::VARCHAR AS a, b, count(*) AS n FROM pairs GROUP BY ALL")
+def pairs_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tab-separated lines of 14 columns with a header in each file."""
+    path = _folder(spark)
+    p = pairs(spark, sf_dir).select("label", *[F.lit("_").alias(f"_{i}") for i in range(2, 6)], F.col("a").cast("string").alias("a"), "b", *[F.lit("rest").alias(f"r{i}") for i in range(7)])
+    p.write.csv(path, sep="\t", header=True, quote="")
+    return readers.labelled_pairs(spark, path).groupBy("label", "a", "b").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_SAMPLES} SELECT label, regexp_replace(coalesce(review, ''), '[\\t\\n]', '', 'g') AS text, count(*) AS n FROM s WHERE label IN (0, 1) GROUP BY ALL")
+def reviews_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per review in the folders of its label."""
+    path = _folder(spark)
+    rows = samples(spark, sf_dir).where("label in (0, 1)").select("sample_id", F.when(F.col("label") == 1, "pos").otherwise("neg").alias("side"), F.coalesce("text", F.lit("")).alias("value"))
+    rows.repartition("sample_id").write.option("lineSep", "\x00").partitionBy("side", "sample_id").text(path)
+    files = [f"{path}/side={x}/*" for x in ("pos", "neg")]
+    got = spark.read.text(files, wholetext=True).select(F.col("_metadata.file_path").alias("f"), F.regexp_replace("value", "\x00$", "").alias("value"))
+    return got.select(F.when(F.col("f").contains("side=pos"), 1).otherwise(0).alias("label"), S.glue_lines(F.col("value")).alias("text")).groupBy("label", "text").agg(F.count("*").alias("n"))
+
+
+_WORDS = r"""w AS (SELECT row_number() OVER (ORDER BY word_id) AS line, word_id, regexp_replace(lower(word), '^[[:punct:]]+|[[:punct:]]+$', '', 'g') AS word
+FROM (SELECT DISTINCT word_id, word, embeddings FROM words_model WHERE word IS NOT NULL AND NOT regexp_matches(word, '[^\x21-\x7e]') AND len(embeddings) = 64))"""
+
+
+@query(f"WITH {_WORDS} SELECT word, min(word_id) AS word_id FROM w WHERE word <> '' GROUP BY word")
+def words_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written as text, loaded, saved and read again: of words met several times the first line stays."""
+    path, w = _folder(spark), table(spark, sf_dir, "words_model")
+    rows = w.where(F.col("word").isNotNull() & ~F.col("word").rlike(r"[^\x21-\x7e]") & (F.size("embeddings") == 64)).select("word_id", "word", "embeddings").distinct()
+    vec = F.concat(F.col("embeddings"), F.array(F.col("word_id").cast("float")))  # the id as a 65th number, to tell rows apart
+    readers.write_fields(rows.orderBy("word_id").select(F.concat_ws(" ", "word", F.array_join(F.transform(vec, lambda x: x.cast("string")), " ")).alias("line")), path, "line")
+    reg = Registry(spark, _folder(spark))
+    pipelines.load_words(reg, "w", readers.word_vectors(spark, path))
+    return reg.table("words", "w", "words").select("word", F.element_at("vec", 65).cast("bigint").alias("word_id"))
+
+
+@query(f"WITH {_VOCAB} SELECT token, df, id FROM ids")
+def vocabulary_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the documents trained, saved, loaded, trained on, finalised, saved and loaded."""
+    docs, reg = documents(spark, sf_dir), Registry(spark, _folder(spark))
+    early, late = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 <> 0")  # both halves are used
+    reg.save_vocabulary("half", tokenizer.Vocabulary(P).train(early))
+    reg.save_vocabulary("whole", reg.load_vocabulary("half").train(late).finalize())
+    return reg.load_vocabulary("whole").df
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE text IS NOT NULL AND kind IS NOT NULL) AS learnt, true AS same, true AS better FROM documents")
+def models_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A modeler with compressor and a classifier over it, created, saved and loaded: classes are the kinds of documents.
+    ``same``: the codes of the saved model are those of a second load; ``better``: more rows right than by the commonest class."""
+    reg = Registry(spark, _folder(spark))
+    docs = cut(spread(table(spark, sf_dir, "documents").select("doc_id", "text", F.col("kind").alias("label"))))
+    known = cut(docs.where("text is not null and label is not null"))
+    pipelines.create_modeler(reg, "m", _SMALL, known, hidden=32, iterations=8, eps=1e-4, supervision=0.25)
+    pipelines.create_classifier(reg, "c", "m", known, tsetlin.Settings(clauses=16, target=8, specificity_high=8.0, iterations=3))
+    one, two = (cut(pipelines.model(Registry(spark, reg.root), "m", docs)) for _ in range(2))
+    same = one.join(two.withColumnRenamed("ids", "again"), "doc_id").where("ids = again").count() == docs.count()
+    said = pipelines.classify(reg, "c", known).withColumnRenamed("label", "said").join(known, "doc_id")
+    most = known.groupBy("label").count().agg(F.max("count")).first()[0]
+    right = said.where("said = label").count()
+    return spark.createDataFrame([(docs.count(), known.count(), same, right > most)], "n bigint, learnt bigint, same boolean, better boolean")
+
+
+@query(f"WITH {_SAMPLES} SELECT round(avg((label = 1)::INTEGER), 6) AS train, round(avg((label = 1)::INTEGER), 6) AS test, count(*) AS n FROM s WHERE label IN (0, 1)")
+def scores_of_a_given_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score operator on a machine that always says class 1."""
+    rows = cut(samples(spark, sf_dir).where("label in (0, 1)").select(F.array(F.lit(0)).alias("ids"), F.col("label").alias("label_id")))
+    s = tsetlin.Settings(clauses=2, target=1, state_bits=2)
+    states = [[[1, 1], [1, 1]], [[3, 1], [1, 1]]]  # of class 1 the first clause holds the feature that all rows have
+    m = tsetlin.Machine(2, 1, s, np.array(states, dtype=np.int16))
+    score = round(tsetlin.accuracy(rows, m), 6)
+    return spark.createDataFrame([(score, score, rows.count())], "train double, test double, n bigint")

@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import glue_lines, split_words
 
 
+def _numbered(spark: SparkSession, *paths: str) -> DataFrame:
+    """(line, value): lines numbered from 0 by path and place. Only the starts of the splits are counted and joined, no text moves."""
+    at = F.monotonically_increasing_id()
+    rows = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), at.alias("_m"))
+    splits = rows.groupBy("_f", "_b").agg(F.min("_m").alias("_least"), F.count("*").alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    starts = splits.select("_f", "_b", "_least", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return rows.join(F.broadcast(starts), ["_f", "_b"]).select((F.col("_m") - F.col("_least") + F.col("_start")).alias("line"), "value")
+
+
 def lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """(doc_id, text), one row per line. Ids rise with the place in the files but are not dense."""
-    return spark.read.text(list(paths)).select(F.monotonically_increasing_id().alias("doc_id"), F.col("value").alias("text"))
+    """(doc_id, text), one row per line, numbered from 0 in the order of path and place."""
+    return _numbered(spark, *paths).select(F.col("line").alias("doc_id"), F.col("value").alias("text"))
 
 
 def word_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(word, vec ARRAY<FLOAT>) of lines ``word f1 .. fn``; a line of another length than the first is an error when read."""
-    parts = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("p"), F.col("value"))
-    head = parts.select("p").first()
+    """(line, word, vec ARRAY<FLOAT>) of lines ``word f1 .. fn``; a line of another length than the first is an error when read."""
+    head = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("p")).first()
     dims = len(head["p"]) - 1 if head else 0
+    parts = _numbered(spark, path).select("line", F.split(F.trim("value"), r"\s+").alias("p"), "value")
     wrong = F.raise_error(F.concat(F.lit(f"not {dims} numbers: "), F.substring("value", 1, 80)))
     floats = F.transform(F.slice("p", 2, max(1, dims)), lambda x: x.cast("float"))
     vec = F.when(F.size("p") == dims + 1, floats).otherwise(wrong.cast("array<float>"))
-    return parts.select(split_words(F.col("p")[0], 1)[0].alias("word"), vec.alias("vec"))
+    return parts.select("line", split_words(F.col("p")[0], 1)[0].alias("word"), vec.alias("vec"))
 
 
 def labelled_pairs(spark: SparkSession, *paths: str) -> DataFrame:

@@ -125,11 +125,39 @@ def test_classifier_learns_and_repeats(spark):
     assert calls == [1]
 
 
+def test_training_does_not_depend_on_partitions(spark):
+    """Labels hang on two features at once, with a tenth of them wrong; 4 and 256 partitions give one and the same model."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(1500):
+        ids = np.flatnonzero(rng.random(16) < 0.5)
+        y = int((0 in ids) != (1 in ids)) if rng.random() > 0.1 else int(rng.integers(2))
+        rows.append((i, [int(x) for x in ids], y))
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>, label_id int")
+    s = tsetlin.Settings(clauses=20, target=10, specificity_high=6.0, iterations=6, shards=2)
+    few, many = (tsetlin.train_classifier(df.repartition(n), 16, 2, s) for n in (4, 256))
+    assert (few.states == many.states).all()
+    assert tsetlin.accuracy(df, few) > 0.8
+
+
+def test_medoids_of_ids_over_64_bits(spark):
+    rng = np.random.default_rng(6)
+    ids = [-(2**63), 2**63 - 1, *(int(x) for x in rng.integers(-(2**62), 2**62, 198))]
+    x = rng.standard_normal((200, 8))
+    rows = spark.createDataFrame([(i, (v / np.linalg.norm(v)).tolist()) for i, v in zip(ids, x, strict=True)], "i long, v array<double>")
+    got = clustering.create(rows, "k-medoids", 4, 1).toPandas()
+    assert sorted(got["i"]) == sorted(ids) and got["cluster"].nunique() == 4
+    assert len(set(clustering.seeds(rows, 60))) == 60
+    assert clustering.create(rows.limit(0), "k-medoids", 4, 1).count() == 0
+    with pytest.raises(RuntimeError, match="still change"):
+        clustering.k_medoids(rows, 20, rounds=1)
+
+
 def test_encoder_and_compressor(spark):
     rows = separable(spark, 240).toPandas()
     a, b = rows[rows.label_id == 0]["ids"].tolist(), rows[rows.label_id == 1]["ids"].tolist()
     t = spark.createDataFrame([(i, *( (a[i], a[-i - 1], b[i]) if i % 2 else (b[i], b[-i - 1], a[i]))) for i in range(100)], "doc_id long, a array<int>, p array<int>, n array<int>")
-    m = tsetlin.train_encoder(t, 20, 8, tsetlin.Settings(clauses=8, target=4, specificity_high=6.0, iterations=4, alpha=0.5))
+    m = tsetlin.train_encoder(t, 20, 8, tsetlin.Settings(clauses=8, target=4, specificity_high=6.0, iterations=4, alpha=0.5, shards=2))
     codes = {c: {r["doc_id"]: set(r["code"]) for r in tsetlin.encode(t, m, ids=c).collect()} for c in "apn"}
     score = np.mean([len(codes["a"][i] ^ codes["p"][i]) < len(codes["a"][i] ^ codes["n"][i]) for i in range(100)])
     assert score > 0.6

@@ -53,9 +53,10 @@ def test_saved_models(spark, tmp_path):
     t = spark.createDataFrame([("red apple", "apple pie", "blue wave"), ("blue ocean", "ocean wave", "red pie")] * 5, "anchor string, positive string, negative string")
     pipelines.create_encoder(reg, "e", "m", t, 8, Settings(clauses=4, target=2, iterations=1))
     assert pipelines.encode(reg, "e", docs).count() == 40
-    words = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.0, 1.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0]), ("", [1.0, 1.0])], "word string, vec array<float>")
-    pipelines.load_words(reg, "w", words)
+    words = spark.createDataFrame([(0, "a", [1.0, 0.0]), (3, "a", [0.0, -1.0]), (1, "b", [0.9, 0.1]), (2, "c", [0.0, 1.0]), (4, "", [1.0, 1.0])], "line long, word string, vec array<float>")
+    pipelines.load_words(reg.root, "w", words)  # a folder will do
     assert reg.params("words", "w") == {"n": 3, "dims": 2}
+    assert sorted((r["id"], r["word"], r["vec"][0]) for r in reg.table("words", "w", "words").collect())[0] == (0, "a", 1.0)
     pipelines.create_clusters(reg, "k", "w", "k-medoids", 2, 1)
     assert reg.table("clusters", "k", "clusters").count() == 3
     with pytest.raises(KeyError):
@@ -78,6 +79,53 @@ def test_compressed_modeler(spark, tmp_path):
         pipelines.create_modeler(reg, "n", Params(), docs, hidden=4)
 
 
+def test_supervised_compressor(spark, tmp_path):
+    """Labels count while fitting only; without labels the option is an error."""
+    docs = spark.createDataFrame([(i, ("red apple pie", "blue ocean wave")[i % 2] + f" word{i % 3}", ("food", "sea")[i % 2]) for i in range(40)], "doc_id long, text string, label string")
+    reg, said = Registry(spark, str(tmp_path / "reg")), []
+    v = pipelines.create_modeler(reg, "m", Params(), docs, hidden=4, iterations=4, eps=1e-4, supervision=0.5, report=lambda *x: said.append(x))
+    assert reg.load_compressor("m").on.shape == (2, 4, v.size()) and [x[0] for x in said] == list(range(1, len(said) + 1)) and all(x[2] >= 0 for x in said)
+    assert pipelines.model(reg, "m", docs.drop("label")).count() == 40
+    with pytest.raises(ValueError, match="number of classes"):
+        corex.fit(docs, 3, 2, supervision=0.5)
+
+
+def test_every_command(spark, tmp_path, capsys):
+    """One run through all commands: process, load, create, explore."""
+    at = lambda x: str(tmp_path / x)
+    nli = [("entailment", "a dog runs", "an animal moves"), ("neutral", "a dog runs", "the dog is brown"), ("contradiction", "a dog runs", "a cat sleeps"), ("-", "x", "y")]
+    (tmp_path / "nli.txt").write_text("h\n" + "".join("\t".join([x, "_", "_", "_", "_", a, b, "r"]) + "\n" for x, a, b in nli * 2))
+    main(["process", "snli", "--inputs", at("nli.txt"), "--triplets", at("t"), at("u"), "--sentences", at("ts"), at("us"), "--train-test-ratio", "0.5"])
+    assert readers.triplets(spark, at("t")).count() == 1 and readers.triplets(spark, at("u")).count() == 1
+    for i in range(12):
+        for side, text in (("pos", "a fine bright film"), ("neg", "a dull weak film")):
+            (tmp_path / "r" / side).mkdir(parents=True, exist_ok=True)
+            (tmp_path / "r" / side / f"{i}.txt").write_text(f"{text} number {i}")
+    main(["process", "imdb", "--dirs", at("r"), "--samples", at("s"), at("z"), "--sentences", at("ss"), at("zs"), "--train-test-ratio", "0.75", "--max", "10"])
+    assert readers.samples(spark, at("s")).count() == 15 and readers.lines(spark, at("zs")).count() == 5
+    (tmp_path / "v.txt").write_text("dog 1 0 0\ncat 0.9 0.1 0\nrun 0 1 0\nwalk 0.1 0.9 0\ndog 0 0 1\n")
+    (tmp_path / "f.txt").write_text("dog\ncat\nrun\n")
+    cache = ["--cache", at("reg")]
+    main(["load", "words", *cache, "--name", "w", "--file", at("v.txt")])
+    main(["create", "clusters", *cache, "--name", "k", "--words", "w", "--algorithm", "k-medoids", "2", "1"])
+    main(["create", "clusters", *cache, "--name", "d", "--words", "w", "--algorithm", "dbscan", "2", "0.8", "2", "--filter", at("f.txt")])
+    reg = Registry(spark, at("reg"))
+    assert {r["id"]: r["word"] for r in reg.table("words", "w", "words").collect()} == {0: "dog", 1: "cat", 2: "run", 3: "walk"}
+    found = {r["i"]: r["cluster"] for r in reg.table("clusters", "k", "clusters").collect()}
+    assert found[0] == found[1] != found[2] == found[3] and {r["i"] for r in reg.table("clusters", "d", "clusters").collect()} == {0, 1}
+    main(["create", "modeler", *cache, "--name", "m", "--sentences", at("ts"), at("ss")])
+    main(["create", "modeler", *cache, "--name", "n", "--samples", at("s"), "--compress", "4", "3", "0.0001", "--supervision", "0.25"])
+    learn = ["--modeler", "m", "--clauses", "10", "--target", "5", "--specificity", "2", "5", "--iterations", "2"]
+    capsys.readouterr()
+    main(["create", "classifier", *cache, "--name", "c", *learn, "--samples", at("s"), at("z")])
+    said = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert [x["epoch"] for x in said] == [1, 2] and all(x["seconds"] > 0 for x in said)
+    main(["create", "encoder", *cache, "--name", "e", *learn, "--hidden", "8", "--triplets", at("t")])
+    (tmp_path / "cfg.json").write_text(json.dumps({"modeler": {"ngrams": [1]}, "classifier": {"clauses": [8], "target": [4], "iterations": [1]}}))
+    main(["explore", "imdb", *cache, "--cfg", at("cfg.json"), "--dirs", at("r")])
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["score"] >= 0
+
+
 def test_second_file_is_the_test_set(spark, tmp_path, capsys):
     put = lambda name, rows: (tmp_path / name).write_text("".join("\t".join(r) + "\n" for r in rows)) and str(tmp_path / name)
     rows = [("food", "red apple pie"), ("sea", "blue ocean wave")] * 10
