@@ -307,12 +307,12 @@ def label_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preparation.with_label_ids(docs, preparation.label_dictionary(docs, "doc_id", "source"), "source").groupBy("label_id").agg(F.count("*").alias("n"))
 
 
-@query("WITH t AS (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL), o AS (SELECT source FROM samples UNION ALL SELECT source FROM sentences) SELECT source, count(*) AS n FROM o WHERE source IS NOT NULL AND source NOT IN (SELECT source FROM t) GROUP BY source")
+@query("WITH o AS (SELECT subject AS label FROM subject_labels UNION ALL SELECT kind FROM documents) SELECT label, count(*) AS n FROM o WHERE label IS NOT NULL AND label NOT IN (SELECT subject FROM subjects) GROUP BY label")
 def label_dict_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources of samples and sentences that a dictionary of the documents' sources doesn't know."""
-    known = preparation.label_dictionary(table(spark, sf_dir, "documents").where("source is not null"), "doc_id", "source")
-    asked = table(spark, sf_dir, "samples").select("source").unionByName(table(spark, sf_dir, "sentences").select("source")).where("source is not null")
-    return asked.join(known.select(F.col("label").alias("source")), "source", "left_anti").groupBy("source").agg(F.count("*").alias("n"))
+    """Ratings and kinds of documents that a dictionary of the subjects doesn't know."""
+    known = preparation.label_dictionary(table(spark, sf_dir, "subjects"), "about", "subject")
+    asked = table(spark, sf_dir, "subject_labels").select(F.col("subject").alias("label")).unionByName(table(spark, sf_dir, "documents").select(F.col("kind").alias("label")))
+    return asked.where("label is not null").join(known, "label", "left_anti").groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_SAMPLES} SELECT (max(label) + 1)::BIGINT AS by_maximum, count(DISTINCT label) AS by_values FROM s")
@@ -420,14 +420,12 @@ def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.early_stops(days, "event_type", ["t"], "x", 0.5)
 
 
-@query("SELECT word_id, word FROM words_model WHERE word IN (SELECT token FROM tokenizer WHERE name = 'corpus_v2') OR word IN (SELECT lower(unnest(regexp_extract_all(coalesce(anchor, ''), '[A-Za-z]+'))) FROM sentences)")
+@query("SELECT word_id, word FROM words_model WHERE word IN (SELECT word FROM words_model w JOIN clusters c ON c.id_words = w.word_id WHERE c.id_clusters_model = 1)")
 def filter_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words that a saved vocabulary or the caption sentences hold."""
+    """The words that an earlier clustering holds."""
     w = table(spark, sf_dir, "words_model").select("word_id", "word")
-    runs = F.regexp_extract_all(F.coalesce("anchor", F.lit("")), F.lit("([A-Za-z]+)"), F.lit(1))
-    said = table(spark, sf_dir, "sentences").select(F.explode(F.transform(runs, F.lower)).alias("word"))
-    listed = table(spark, sf_dir, "tokenizer").where("name = 'corpus_v2'").select(F.col("token").alias("word")).unionByName(said)
-    return clustering.filter_words(w, listed)
+    held = table(spark, sf_dir, "clusters").where("id_clusters_model = 1").select(F.col("id_words").alias("word_id"))
+    return clustering.filter_words(w, w.join(held, "word_id", "left_semi"))
 
 
 @query("SELECT count(*) AS n_rows, 8::BIGINT AS clusters, 0::BIGINT AS misplaced, 0::BIGINT AS better_medoids, 0::BIGINT AS bad_ranks FROM embeddings")
