@@ -155,7 +155,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)).astype(np.float32)
 
 
-def bisect(rows: DataFrame, idf: np.ndarray, depth: int = 5, rounds: int = 2) -> list[np.ndarray]:
+def bisect(rows: DataFrame, idf: np.ndarray, depth: int = 5, rounds: int = 1) -> list[np.ndarray]:
     """Centroids of each level: row 2 * node + side. Spherical 2-means in all nodes of a level at once, started by the side
     of a random direction through the node's mean."""
     v, rng, levels = len(idf), np.random.default_rng(5), []
