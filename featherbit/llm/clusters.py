@@ -6,16 +6,19 @@
    forward and backward, are compared with one another, and everybody keeps the ``k`` best met so far; pairs of two old
    neighbours are not tried again. Rounds end when hardly any list changes. Similarities are in double precision throughout.
 2. Links are the edges with at least ``least``. Modularity-based community detection on them: from labels spread over two
-   steps, vectors move to the neighbouring community with the greatest gain in modularity, half of them (by hash) per round.
+   steps, vectors move to the neighbouring community with the greatest gain in modularity, half of them (by hash) per round;
+   then communities move as a whole, level by level, as long as modularity rises.
 3. Lists of ``k`` hold neither all links of a dense region nor, being approximate, surely those they could. So an exact pass
    compares all directions in pairs of blocks (``whole``), leaving out only what the triangle inequality rules out, and gives
    the links between clusters, one per pair of them, and each vector's weighted degree over all links in its community.
 4. Clusters in the sense of p1_found are communities joined by links over their borders (minimum labels over the contracted
    graph), first those of the lists, then all. Communities are described by size and by their members of highest internal
-   weighted degree. Modularity itself sees the links of the lists only.
+   weighted degree. Modularity itself sees the links of the lists only. It decides the communities of the report; the rows of
+   p1_found are connectivity by definition, so there communities only save work: links inside them needn't be looked at.
 
-Cells over four times their intended size are split by hash, differently in each tree, so no task holds an unbounded group;
-descent connects the parts. Neighbours taken backward are limited to ``k`` by hash, as the method has it: a vector's own list
+Cells over four times their intended size are split by random planes through their pivot, so near vectors mostly stay together
+whatever the number of vectors; what is still over eight times the size (vectors all alike) is split by hash, differently in
+each tree. No task holds an unbounded group; descent connects the parts. Neighbours taken backward are limited to ``k`` by hash, as the method has it: a vector's own list
 is kept whole, and what one round misses the next may find. Copies of one direction are one vector (see ``vectors``).
 
 Defined results: unusable vectors take no part; a cluster of copies only counts with all its rows; ties in typicality go to the
@@ -41,10 +44,13 @@ BLOCKS, LEAST_BLOCK, MOST_BLOCK = 16, 1024, 16384
 LIST = "array<struct<d: double, o: bigint>>"
 
 
-def _best(df: DataFrame, k: int) -> DataFrame:
-    """(c, l) with several lists per c to one list of the k nearest each."""
-    every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("l"))))
-    return df.groupBy("c").agg(F.slice(every, 1, k).alias("l"))
+def _best(df: DataFrame, k: int, parts: int = 1) -> DataFrame:
+    """(c, l) with several lists per c to one list of the k nearest each. With ``parts`` lists are joined within each part p
+    first, so that a vector which stands in very many lists (a hub) never has them all in one place."""
+    for by in (["c", "p"], ["c"]) if parts > 1 else (["c"],):
+        every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("l"))))
+        df = df.groupBy(*by).agg(F.slice(every, 1, k).alias("l"))
+    return df.select("c", "l")
 
 
 def _lists(a: np.ndarray, o: np.ndarray, s: np.ndarray, k: int) -> pd.DataFrame:
@@ -80,8 +86,24 @@ def forest(dirs: DataFrame, total: int, k: int, trees: int) -> DataFrame:
 
     at = dirs.select("c", "v").mapInPandas(cells, "c bigint, v array<float>, t int, cell int")
     sizes = at.groupBy("t", "cell").agg(F.count("*").alias("n"))
-    parts = F.broadcast(sizes.select("t", "cell", (1 + F.col("n") / (4 * CELL)).cast("int").alias("parts")))  # trees * 1,024 rows at most
-    at = at.join(parts, ["t", "cell"]).withColumn("part", F.pmod(F.xxhash64("c", "t"), F.col("parts")))
+    depth = F.when(F.col("n") > 4 * CELL, F.ceil(F.log2(F.col("n") / (2 * CELL)))).otherwise(0)
+    deep = F.broadcast(sizes.select("t", "cell", F.least(depth, F.lit(30)).cast("int").alias("depth")))  # trees * 1,024 rows at most
+    planes = np.random.default_rng(11).standard_normal((trees, pivots.shape[2], 30)).astype(np.float32)
+
+    def halves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            part = np.zeros(len(f), dtype=np.int64)
+            rows = np.flatnonzero(f["depth"].to_numpy())
+            if len(rows):
+                t, cell, d = (f[x].to_numpy()[rows] for x in ("t", "cell", "depth"))
+                off = unit_rows(f["v"].iloc[rows]).astype(np.float32) - pivots[t, cell]
+                bits = np.einsum("ij,ijk->ik", off, planes[t]) > 0
+                part[rows] = (bits & (np.arange(30)[None, :] < d[:, None])) @ (1 << np.arange(30, dtype=np.int64))
+            yield f.drop(columns="depth").assign(part=part)
+
+    at = at.join(deep, ["t", "cell"]).mapInPandas(halves, "c bigint, v array<float>, t int, cell int, part bigint")
+    left = at.groupBy("t", "cell", "part").agg(F.count("*").alias("n")).where(F.col("n") > 8 * CELL)  # vectors / 5,600 * trees rows at most
+    at = at.join(left, ["t", "cell", "part"], "left").withColumn("piece", F.pmod(F.xxhash64("c", "t"), F.ceil(F.coalesce("n", F.lit(1)) / (4 * CELL)))).drop("n")
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
         x, ids = unit_rows(f["v"]), f["c"].to_numpy()
@@ -94,7 +116,7 @@ def forest(dirs: DataFrame, total: int, k: int, trees: int) -> DataFrame:
         a = np.repeat(ids, take)
         return _lists(a, ids[near].ravel(), np.take_along_axis(s, near, 1).ravel(), k)
 
-    return _best(at.groupBy("t", "cell", "part").applyInPandas(compare, f"c bigint, l {LIST}"), k)
+    return _best(at.groupBy("t", "cell", "part", "piece").applyInPandas(compare, f"c bigint, l {LIST}"), k)
 
 
 def descend(dirs: DataFrame, graph: DataFrame, old: DataFrame | None, total: int, k: int) -> DataFrame:
@@ -110,7 +132,9 @@ def descend(dirs: DataFrame, graph: DataFrame, old: DataFrame | None, total: int
     backward = edges.withColumn("r", F.row_number().over(back)).where(F.col("r") <= k).select(F.col("w").alias("u"), F.col("u").alias("w"), "new")
     around = edges.unionByName(backward).groupBy("u", "w").agg(F.max("new").alias("new"))
     full = around.join(dirs.select(F.col("c").alias("w"), "v"), "w")
-    full = full.withColumn("b", F.pmod(F.xxhash64("u"), F.lit(max(1, total // 400))))
+    blocks = max(1, total // 400)
+    parts = int(np.ceil(np.sqrt(blocks)))
+    full = full.withColumn("b", F.pmod(F.xxhash64("u"), F.lit(blocks)))
 
     def meet(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["u", "w"], kind="stable", ignore_index=True)
@@ -134,10 +158,10 @@ def descend(dirs: DataFrame, graph: DataFrame, old: DataFrame | None, total: int
             fine = v > 0
             out.append((a[fine], o[fine], v[fine]))
         a, o, s = (np.concatenate(y) for y in zip(*out, strict=True))
-        return _lists(a, o, s, k)
+        return _lists(a, o, s, k).assign(p=int(f["b"].iloc[0]) % parts)
 
-    met = full.groupBy("b").applyInPandas(meet, f"c bigint, l {LIST}")
-    return _best(graph.unionByName(met), k)
+    met = full.groupBy("b").applyInPandas(meet, f"c bigint, l {LIST}, p int")
+    return _best(graph.withColumn("p", F.lit(0)).unionByName(met), k, parts)
 
 
 def neighbour_graph(dirs: DataFrame, k: int = 12, trees: int = 8, rounds: int = 5, settled: float = 0.005) -> DataFrame:
@@ -156,15 +180,9 @@ def neighbour_graph(dirs: DataFrame, k: int = 12, trees: int = 8, rounds: int =
     return graph
 
 
-def communities(links: DataFrame, rounds: int = 6) -> DataFrame:
-    """links(a, b, w), each once, to (c, m): the community of every linked vector, by modularity."""
-    both = C.cut(links.select(F.col("a").alias("c"), F.col("b").alias("o"), "w").unionByName(links.select(F.col("b").alias("c"), F.col("a").alias("o"), "w")))
-    degree = C.cut(both.groupBy("c").agg(F.sum("w").alias("k"), F.least(F.min("o"), F.first("c")).alias("m")))
-    whole = degree.agg(F.sum("k")).first()[0] or 0.0
-    if not whole:
-        return degree.select("c", "m")
-    near = both.join(degree.select(F.col("c").alias("o"), "m"), "o").groupBy("c").agg(F.min("m").alias("mm"))
-    state = C.cut(degree.join(near, "c").select("c", "k", F.least("m", "mm").alias("m")))
+def _moved(both: DataFrame, state: DataFrame, whole: float, rounds: int) -> DataFrame:
+    """both(c, o, w) in both directions and without loops, state(c, k, m) of degrees and labels, to the labels after moves: in
+    each round half of the vertices, by hash, go to the neighbouring community with the greatest gain in modularity."""
     for r in range(rounds):
         totals = state.groupBy("m").agg(F.sum("k").alias("tot"))
         to = both.join(state.select(F.col("c").alias("o"), "m"), "o").groupBy("c", "m").agg(F.sum("w").alias("w"))
@@ -180,7 +198,45 @@ def communities(links: DataFrame, rounds: int = 6) -> DataFrame:
         state = moved.select("c", "k", F.col("to").alias("m"))
         if not steps and r:
             break
-    return state.select("c", "m")
+    return state
+
+
+def communities(links: DataFrame, rounds: int = 6, levels: int = 1, least_gain: float = 1e-3) -> tuple[DataFrame, list[tuple[int, int, float]]]:
+    """links(a, b, w), each once, to (c, m), the community of every linked vector by modularity, and (level, number of
+    communities, modularity) of every level.
+
+    The first level begins with labels spread over two steps. Each further one takes the communities as vertices, with their
+    inner weight as loops, and begins with each alone; levels end when modularity rises by less than ``least_gain``. The number
+    of a community is some vertex of it.
+    """
+    both = C.cut(links.select(F.col("a").alias("c"), F.col("b").alias("o"), "w").unionByName(links.select(F.col("b").alias("c"), F.col("a").alias("o"), "w")))
+    degree = C.cut(both.groupBy("c").agg(F.sum("w").alias("k"), F.least(F.min("o"), F.first("c")).alias("m")))
+    whole = degree.agg(F.sum("k")).first()[0] or 0.0
+    if not whole:
+        return degree.select("c", "m"), []
+    near = both.join(degree.select(F.col("c").alias("o"), "m"), "o").groupBy("c").agg(F.min("m").alias("mm"))
+    state = C.cut(degree.join(near, "c").select("c", "k", F.least("m", "mm").alias("m")))
+    loops, found, said = None, None, []
+    for level in range(1, levels + 1):
+        state = _moved(both, state, whole, rounds)
+        side = lambda x: state.select(F.col("c").alias(x), F.col("m").alias(f"m{x}"))  # noqa: E731, B023
+        joined = C.cut(both.join(side("c"), "c").join(side("o"), "o").groupBy("mc", "mo").agg(F.sum("w").alias("w")))
+        own = joined.where("mc = mo").select(F.col("mc").alias("c"), F.col("w").alias("inner"))
+        if loops is not None:  # of the vertices, on to their communities
+            own = own.unionByName(loops.join(state, "c").select(F.col("m").alias("c"), "inner"))
+        own = C.cut(own.groupBy("c").agg(F.sum("inner").alias("inner")))
+        merged = C.cut(state.groupBy(F.col("m").alias("c")).agg(F.sum("k").alias("k")))
+        q = merged.join(own, "c", "left").agg(F.sum(F.coalesce("inner", F.lit(0.0)) / whole - (F.col("k") / whole) * (F.col("k") / whole)), F.count("*")).first()
+        if said and q[0] < said[-1][2] + least_gain:
+            break
+        said.append((level, q[1], float(q[0])))
+        if found is None:
+            found = state.select("c", "m")
+        else:
+            found = found.select("c", F.col("m").alias("v")).join(state.select(F.col("c").alias("v"), "m"), "v").select("c", "m")
+        both, loops = joined.where("mc <> mo").select(F.col("mc").alias("c"), F.col("mo").alias("o"), "w"), own
+        state = merged.select("c", "k", F.col("c").alias("m"))
+    return C.cut(found), said
 
 
 def whole(dirs: DataFrame, found: DataFrame, least: float) -> DataFrame:
@@ -259,14 +315,18 @@ def _joined(found: DataFrame, label: str, across: DataFrame) -> DataFrame:
     return found.join(joined, label, "left").select("c", "n", "m", F.coalesce("_to", label).alias("label"))
 
 
-def similarity_clusters(rows: DataFrame, least: float = 0.8, k: int = 12, trees: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
+def similar_links(dirs: DataFrame, least: float, k: int, trees: int) -> DataFrame:
+    """(a, b, w), a < b: links of the neighbour lists, cut."""
+    edges = neighbour_graph(dirs, k, trees).select("c", F.explode("l").alias("x")).where(F.col("x.d") <= 1 - least)
+    return C.cut(edges.select(F.least("c", "x.o").alias("a"), F.greatest("c", "x.o").alias("b"), F.round(1 - F.col("x.d"), 9).alias("w")).distinct())
+
+
+def similarity_clusters(rows: DataFrame, least: float = 0.8, k: int = 12, trees: int = 8, levels: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """rows(id, v) usable. Gives (id, c) of all, (c, w) of links inside communities, and (c, n, m, cluster, size) of every direction."""
     C.ship(rows.sparkSession)
     dirs, members = V.directions(rows)
-    graph = neighbour_graph(dirs, k, trees)
-    edges = graph.select("c", F.explode("l").alias("x")).where(F.col("x.d") <= 1 - least)
-    links = C.cut(edges.select(F.least("c", "x.o").alias("a"), F.greatest("c", "x.o").alias("b"), F.round(1 - F.col("x.d"), 9).alias("w")).distinct())
-    found = C.cut(dirs.select("c", "n").join(communities(links), "c", "left").select("c", "n", F.coalesce("m", "c").alias("m")))
+    links = similar_links(dirs, least, k, trees)
+    found = C.cut(dirs.select("c", "n").join(communities(links, levels=levels)[0], "c", "left").select("c", "n", F.coalesce("m", "c").alias("m")))
     side = lambda x: found.select(F.col("c").alias(x), F.col("m").alias(f"m{x}"))
     across = links.join(side("a"), "a").join(side("b"), "b").where("ma <> mb").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct()
     named = C.cut(_joined(found, "m", across))
@@ -284,15 +344,22 @@ def cluster_members(rows: DataFrame, least: float = 0.8, smallest: int = 3) -> D
     return C.heavy_join(members, kept, "c", "n").select(F.col("cluster").alias("cluster_id"), "id")
 
 
-def cluster_report(rows: DataFrame, least: float = 0.8, typical: int = 5) -> DataFrame:
-    """(community_id, size, typical ARRAY<BIGINT>): ids of highest internal weighted degree, of communities of two or more rows.
+def community_quality(rows: DataFrame, least: float = 0.8, k: int = 12, trees: int = 8, levels: int = 4) -> DataFrame:
+    """(level, communities, modularity) of the community detection, level by level."""
+    C.ship(rows.sparkSession)
+    said = communities(similar_links(V.directions(rows)[0], least, k, trees), levels=levels)[1]
+    return rows.sparkSession.createDataFrame([(n, m, round(q, 6)) for n, m, q in said], "level int, communities bigint, modularity double")
+
+
+def cluster_report(rows: DataFrame, least: float = 0.8, typical: int = 5, levels: int = 4, smallest: int = 2) -> DataFrame:
+    """(community_id, cluster_id, size, typical ARRAY<BIGINT>): the cluster it is part of, and ids of highest internal weighted degree, of communities of ``smallest`` or more rows.
 
     A copy counts as a link of 1, so copies of one direction are typical by their number.
     """
-    _, inside, found = similarity_clusters(rows, least)
-    scored = found.join(inside, "c", "left").select("m", "c", "n", (F.coalesce("w", F.lit(0.0)) + F.col("n") - 1).alias("w"))
-    named = scored.groupBy("m").agg(F.min("c").alias("community_id"), F.sum("n").alias("size")).where("size >= 2")
+    _, inside, found = similarity_clusters(rows, least, levels=levels)
+    scored = found.join(inside, "c", "left").select("m", "c", "n", "cluster", (F.coalesce("w", F.lit(0.0)) + F.col("n") - 1).alias("w"))
+    named = scored.groupBy("m").agg(F.min("c").alias("community_id"), F.min("cluster").alias("cluster_id"), F.sum("n").alias("size")).where(F.col("size") >= smallest)
     by = Window.partitionBy("m").orderBy(F.desc(F.round("w", 6)), "c")
     top = scored.withColumn("r", F.row_number().over(by)).where(F.col("r") <= typical)
     best = top.groupBy("m").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "c"))), lambda x: x["c"]).alias("typical"))
-    return named.join(best, "m").select("community_id", "size", "typical")
+    return named.join(best, "m").select("community_id", "cluster_id", "size", "typical")

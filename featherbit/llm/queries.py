@@ -180,6 +180,19 @@ def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster_report(_vectors(spark, sf_dir))
 
 
+@query
+def p1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of communities and their modularity, level by level."""
+    return clusters.community_quality(_vectors(spark, sf_dir))
+
+
+@query
+def p1_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per cluster of two or more, as sums over its communities."""
+    report = clusters.cluster_report(_vectors(spark, sf_dir), smallest=1)
+    return report.groupBy("cluster_id").agg(F.sum("size").alias("n_rows")).where("n_rows >= 2")
+
+
 # 2: the same record in several splits
 
 
@@ -260,6 +273,8 @@ k AS (SELECT a, b, s FROM l WHERE s >= 0.8)"""
 SQL["p1_found"] = f"""WITH RECURSIVE {_V}, r(i, c) AS (SELECT i, i FROM u UNION SELECT k.b, r.c FROM r JOIN k ON k.a = r.i),
 m AS (SELECT i, min(c) AS c FROM r GROUP BY i)
 SELECT c AS cluster_id, i AS word_id FROM m WHERE c IN (SELECT c FROM m GROUP BY c HAVING count(*) >= 3)"""
+SQL["p1_sizes"] = f"""WITH RECURSIVE {_V}, r(i, c) AS (SELECT i, i FROM u UNION SELECT k.b, r.c FROM r JOIN k ON k.a = r.i),
+m AS (SELECT i, min(c) AS c FROM r GROUP BY i) SELECT c AS cluster_id, count(*) AS n_rows FROM m GROUP BY c HAVING count(*) >= 2"""
 SQL["p5_found"] = f"WITH {_V} SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM k) WHERE r <= 5"
 _T = "t AS (SELECT triplet_id AS id, max_by(anchor, loaded_at) AS anchor, max_by(positive, loaded_at) AS positive, max_by(negative, loaded_at) AS negative, max_by(author_id, loaded_at) AS author, max_by(lower(regexp_replace(split, '\\s+', '', 'g')), loaded_at) AS split FROM triplets GROUP BY triplet_id)"
 _W = r"list_distinct(list_transform(regexp_extract_all(coalesce({}, ''), '[\p{{L}}\p{{N}}]+'), lambda w: lower(w)))"

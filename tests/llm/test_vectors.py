@@ -104,3 +104,53 @@ def test_clusters_of_more_links_than_a_list_holds(spark, monkeypatch):
         want = np.where(same & (s >= 0.8), s, 0).sum(1)
         w = {r["c"]: r["w"] for r in inner.collect()}
         assert np.allclose([w.get(i, 0.0) for i in range(len(x))], want)
+
+
+def test_one_bridge_joins_two_balls(spark):
+    """Two balls of 40 fill their lists with one another; the one link between them, at 0.81, is found all the same."""
+    rng = np.random.default_rng(7)
+    base = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    angle = np.arccos(0.81)
+    a, b = base[0], np.cos(angle) * base[0] + np.sin(angle) * base[1]
+    away = lambda c, d: np.cos(0.5) * c + np.sin(0.5) * d
+    balls = [away(c, d) + 0.002 * rng.standard_normal(64) for c, d in ((a, base[2]), (b, base[3])) for _ in range(40)]
+    x = np.array([a, b, *balls], dtype=np.float32)
+    s = truth(x)
+    assert s[0, 1] >= 0.8 and (s[:, 2:42][1].max() < 0.8) and s[2:42, 42:].max() < 0.8 and s[0, 2:42].min() >= 0.8
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    assert {tuple(r) for r in clusters.cluster_members(df).collect()} == {(0, i) for i in range(82)}
+    report = clusters.cluster_report(df).collect()
+    assert sum(r["size"] for r in report) == 82 and {r["cluster_id"] for r in report} == {0}
+
+
+def test_modularity_by_levels(spark):
+    """A ring of 24 cliques of 5: the modularity said is that of the labels, and levels raise it."""
+    links = []
+    for g in range(24):
+        v = list(range(5 * g, 5 * g + 5))
+        links += [(i, j, 1.0) for i in v for j in v if i < j] + [tuple(sorted((v[0], (5 * g + 9) % 120))) + (1.0,)]
+    df = spark.createDataFrame(links, "a long, b long, w double")
+    for levels in (1, 4):
+        labels, said = clusters.communities(df, levels=levels)
+        m = {r["c"]: r["m"] for r in labels.collect()}
+        k, whole = {}, 2.0 * len(links)
+        for a, b, _ in links:
+            k[a], k[b] = k.get(a, 0) + 1, k.get(b, 0) + 1
+        q = sum(2 for a, b, _ in links if m[a] == m[b]) / whole - sum((sum(k[c] for c in k if m[c] == x) / whole) ** 2 for x in set(m.values()))
+        assert len(m) == 120 and abs(said[-1][2] - q) < 1e-9 and said[-1][1] == len(set(m.values()))
+    assert said[-1][2] > 0.8 and all(x[2] < y[2] for x, y in zip(said, said[1:], strict=False))
+    assert clusters.communities(df.limit(0))[0].count() == 0
+
+
+def test_large_cells_are_split(spark, monkeypatch):
+    """Cells far over their size still give the neighbours: recall of the lists on one dense region."""
+    rng = np.random.default_rng(8)
+    x = (rng.standard_normal(64) + 0.5 * rng.standard_normal((600, 64))).astype(np.float32)
+    monkeypatch.setattr(clusters, "CELL", 16)
+    monkeypatch.setattr(clusters, "PIVOTS", 2)
+    dirs = vectors.directions(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]))[0]
+    s = truth(x)
+    np.fill_diagonal(s, -1)
+    near = np.argsort(-s, axis=1)[:, :12]
+    got = {r["c"]: {y["o"] for y in r["l"]} for r in clusters.neighbour_graph(dirs).collect()}
+    assert np.mean([len(got[i] & set(near[i].tolist())) / 12 for i in range(len(x))]) > 0.9
