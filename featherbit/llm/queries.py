@@ -209,12 +209,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per split and source: records, those with an overlap in train, and the pairs."""
-    rows = C.cut(_records(spark, sf_dir))
-    pairs = overlap.overlapping_pairs(rows).groupBy(F.col("other_id").alias("id")).agg(F.count("*").alias("pairs"))
-    held = overlap.split_name(rows.select("id", "split", "source")).where(F.col("split").isin(*overlap.EVALUATION)).join(pairs, "id", "left")
+    rows = _records(spark, sf_dir)
+    held = overlap.split_name(rows.select("id", "split", "source")).where(F.col("split").isin(*overlap.EVALUATION)).join(overlap.overlap_counts(rows), "id", "left")
     return held.groupBy("split", "source").agg(F.count("*").alias("n_rows"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
 
 
+@query
+def p2_by_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs in all, and those that shared chunks led to."""
+    return overlap.overlap_counts(_records(spark, sf_dir)).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("by_chunks"), F.lit(0)).alias("by_chunks"))
+
+
 @query
 def p2_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each held-out record's words that stand in chunks which train has too."""
@@ -283,6 +288,17 @@ SQL["p2_found"] = f"""WITH {_T}, w AS (SELECT id, split, {_W.format('anchor')} A
 f AS (SELECT * FROM w WHERE len(a) > 0 AND len(p) > 0 AND len(n) > 0)
 SELECT least(x.id, y.id) AS id_a, greatest(x.id, y.id) AS id_b FROM f x JOIN f y ON x.split = 'train' AND y.split IN ('validation', 'test')
 WHERE {_NEAR.format('p')} AND {_NEAR.format('n')} AND {_NEAR.format('a')}"""
+_P = SQL["p2_found"].replace("SELECT least(x.id, y.id) AS id_a, greatest(x.id, y.id) AS id_b FROM", ", pr AS (SELECT x.id AS t, y.id AS e FROM") + ")"
+SQL["p2_report"] = _P + """, n AS (SELECT e, count(*) AS pairs FROM pr GROUP BY e), s AS (SELECT triplet_id AS id, max_by(lower(regexp_replace(split, '\\s+', '', 'g')), loaded_at) AS split, max_by(source, loaded_at) AS source FROM triplets GROUP BY triplet_id)
+SELECT split, source, count(*) AS n_rows, count(pairs) AS overlapping, coalesce(sum(pairs), 0)::BIGINT AS pairs FROM s LEFT JOIN n ON n.e = s.id WHERE split IN ('validation', 'test') GROUP BY split, source"""
+_C = r"""c AS (SELECT id, split, f, list_transform(regexp_extract_all(coalesce(x, ''), '[\p{L}\p{N}]+'), lambda w: lower(w)) AS w FROM t, LATERAL (SELECT unnest([{'f': 'anchor', 'x': anchor}, {'f': 'positive', 'x': positive}, {'f': 'negative', 'x': negative}], recursive := true))),
+w AS (SELECT id, split, f, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM c),
+g AS (SELECT *, coalesce(sum((('0x' || md5(right(w, 4))[1:4])::INTEGER % 4 = 0)::INTEGER) OVER (PARTITION BY id, f ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM w),
+k AS (SELECT id, split, f, string_agg(w, ' ' ORDER BY i) AS k, count(*) AS n FROM g GROUP BY id, split, f, g),
+h AS (SELECT DISTINCT f, k FROM k WHERE split = 'train')
+SELECT k.id AS triplet_id, sum(n)::BIGINT AS n_words, sum(CASE WHEN h.k IS NULL THEN 0 ELSE n END)::BIGINT AS shared, round(sum(CASE WHEN h.k IS NULL THEN 0 ELSE n END) / sum(n), 6) AS fraction
+FROM k LEFT JOIN h ON h.f = k.f AND h.k = k.k WHERE k.split IN ('validation', 'test') GROUP BY k.id"""
+SQL["p2_chunks"] = f"WITH {_T}, {_C}"
 SQL["p3_found"] = f"""WITH RECURSIVE {_T}, g AS (SELECT id, author, nullif(lower(regexp_replace(regexp_replace(anchor, '<[^>]*>|&([A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', '', 'g')), '') AS k FROM t),
 e AS (SELECT DISTINCT author, k FROM g WHERE author IS NOT NULL AND k IS NOT NULL),
 r(author, c) AS (SELECT author, author FROM e UNION SELECT y.author, r.c FROM r JOIN e x ON x.author = r.author JOIN e y ON y.k = x.k),
