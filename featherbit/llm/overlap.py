@@ -7,7 +7,7 @@
    record that the other holds too (``chunk_pairs``).
 2. A chunk that very many records have joins them all, so digests that would give over ``most`` pairs are left to step 3. Nor can
    chunks promise every pair: if each of a field's chunks has a changed word, none is shared. On the test tables chunks find
-   0.9998 of the pairs of different records; step 3 is what makes the result whole at any size (``rare_word_pairs``): two sets with
+   all 5,899 pairs of different records (0.935 with a quarter of ``most``); step 3 is what makes the result whole at any size (``rare_word_pairs``): two sets with
    a similarity of t share a word of their rarest n - ceil(t n) + 1 words; the digest of such a word of ``positive`` together with
    one of ``negative`` is shared by every true pair, and still rare. Where both words are common (each in over 2 % of the
    records, as with boilerplate) a rare word of ``anchor`` is added to the digest on both sides.
@@ -187,7 +187,7 @@ def chunk_pairs(classes: DataFrame, total: int, threshold: float = 0.7, divisor:
         i, j = np.repeat(t, n), e[np.repeat(start[group[t]], n) + ramp] if len(t) else np.zeros(0, dtype=int)
         near = x["c"][i] != x["c"][j] if len(i) else np.zeros(0, dtype=bool)
         for f in "apn":
-            near &= np.bitwise_count(x[f"s{f}"][i] ^ x[f"s{f}"][j]) <= (x[f"l{f}"][i] + x[f"l{f}"][j]) * slack
+            near &= np.bitwise_count((x[f"s{f}"][i] ^ x[f"s{f}"][j]).view(np.uint64)) <= (x[f"l{f}"][i] + x[f"l{f}"][j]) * slack
         i, j = i[near], j[near]
         lens = np.stack([x[f"l{f}"] for f in "apn"])
         part = x["size"][i] / np.maximum(lens[x["kind"][i] % 3, i], lens[x["kind"][i] % 3, j])
