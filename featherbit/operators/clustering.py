@@ -189,6 +189,13 @@ def filter_words(vectors: DataFrame, words: DataFrame, word: str = "word") -> Da
     return vectors.join(words.select(word).distinct(), word, "left_semi")
 
 
+def words_to_clusters(tokens: DataFrame, words: DataFrame, clusters: DataFrame, n_closest: int = 1) -> DataFrame:
+    """tokens(word, ...), words(id, word), clusters(i, cluster, sim, rank) to the tokens' other columns with cluster and sim: each
+    known word is replaced by its ``n_closest`` clusters; words without vector or cluster are left out."""
+    of = words.select("word", F.col("id").alias("i")).join(clusters.where(F.col("rank") <= n_closest).select("i", "cluster", "sim"), "i")
+    return tokens.join(of.select("word", "cluster", "sim"), "word").drop("word")
+
+
 def early_stop(values: list[float], eps: float, least: int = 10) -> int | None:
     """After how many values the mean of the last five differs by under eps from that of the five before."""
     for n in range(least, len(values) + 1):

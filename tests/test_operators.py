@@ -179,6 +179,14 @@ def test_search():
     assert explore.paired([{"a": 1}, {"a": 2}], [{"b": 1}]) == [({"a": 1}, {"b": 1})]
 
 
+def test_words_to_clusters(spark):
+    words = spark.createDataFrame([(1, "dog"), (2, "cat"), (3, "sky")], "id long, word string")
+    found = spark.createDataFrame([(1, 0, 1.0, 1), (1, 1, 0.5, 2), (2, 0, 0.9, 1)], "i long, cluster long, sim double, rank int")
+    tokens = spark.createDataFrame([(7, 0, "dog"), (7, 1, "sky"), (8, 0, "cat"), (8, 1, "none"), (9, 0, None)], "doc_id long, pos int, word string")
+    got = lambda n: sorted(map(tuple, clustering.words_to_clusters(tokens, words, found, n).collect()))
+    assert got(1) == [(7, 0, 0, 1.0), (8, 0, 0, 0.9)] and got(2) == [(7, 0, 0, 1.0), (7, 0, 1, 0.5), (8, 0, 0, 0.9)]
+
+
 def test_weighted_choice(spark):
     w = spark.createDataFrame([(i, float(i % 4)) for i in range(100)], "i long, w double")
     c = np.cumsum([i % 4 for i in range(100)]) / sum(i % 4 for i in range(100))
