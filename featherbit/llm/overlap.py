@@ -5,12 +5,12 @@
    words that it says (one in ``divisor``), so a changed word moves no cut but its own. Digests of the chunks are joined across
    splits, and the lengths of the chunks that a train and a held-out record share are summed, per field, into the share of the
    record that the other holds too (``chunk_pairs``).
-2. A chunk that very many records have joins them all, so digests that would give over ``most`` pairs are left to step 3. Nor can
-   chunks promise every pair: if each of a field's chunks has a changed word, none is shared. On the test tables chunks find
-   all 5,899 pairs of different records (0.935 with a quarter of ``most``); step 3 is what makes the result whole at any size (``rare_word_pairs``): two sets with
-   a similarity of t share a word of their rarest n - ceil(t n) + 1 words; the digest of such a word of ``positive`` together with
-   one of ``negative`` is shared by every true pair, and still rare. Where both words are common (each in over 2 % of the
-   records, as with boilerplate) a rare word of ``anchor`` is added to the digest on both sides.
+2. A chunk that very many records have joins them all, so digests that would give over ``most`` pairs are left to
+   ``rare_word_pairs``. Nor can chunks promise every pair: if each of a field's chunks has a changed word, none is shared. On the
+   largest test table chunks lead to all 5,899 pairs of different records (0.935 with a quarter of ``most``); rare words make the
+   result whole whatever the data: two sets with a similarity of t share a word of their rarest n - ceil(t n) + 1 words, so the
+   digest of such a word of ``positive`` together with one of ``negative`` is shared by every true pair, and still rare. Where both
+   words are common (each in over 2 % of the records, as with boilerplate) a rare word of ``anchor`` is added on both sides.
 3. All candidates are checked exactly on their word sets. In both steps a 64-bit sketch of each field's words bounds the
    difference and drops most wrong candidates inside the join.
 
@@ -36,7 +36,7 @@ from . import common as C
 FIELDS = ("anchor", "positive", "negative")
 BUCKETS = 1 << 16
 EVALUATION = ("validation", "test")
-DIVISOR, MOST = 4, 16_384
+DIVISOR, MOST, ORDERS = 4, 16_384, 2
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 
 
@@ -102,7 +102,7 @@ def _mixed(x: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _chunks(batch: pa.RecordBatch, divisor: int) -> tuple[np.ndarray, ...]:
+def _chunks(batch: pa.RecordBatch, divisor: int, orders: int) -> tuple[np.ndarray, ...]:
     """Owner (row of the batch), digest, field and order (3 * order + field) and length of every chunk of a batch (c, held, a, p, n)."""
     out = []
     for field in range(3):
@@ -110,7 +110,7 @@ def _chunks(batch: pa.RecordBatch, divisor: int) -> tuple[np.ndarray, ...]:
         w, off = col.values.to_numpy(), col.offsets.to_numpy()
         row = np.repeat(np.arange(len(off) - 1), np.diff(off))
         w = w[off[0] : off[-1]]
-        for order in range(2):
+        for order in range(orders):
             x = _mixed(w, 2 * order)
             at = np.lexsort((x, row))
             x, r = x[at], row[at]
@@ -137,7 +137,7 @@ def _sketches(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 _ROW = "digest long, c long, held int, kind int, size int, la int, lp int, ln int, sa long, sp long, sn long"
 
 
-def chunk_pairs(classes: DataFrame, total: int, threshold: float = 0.7, divisor: int = DIVISOR, most: int = MOST) -> DataFrame:
+def chunk_pairs(classes: DataFrame, total: int, threshold: float = 0.7, divisor: int = DIVISOR, most: int = MOST, orders: int = ORDERS) -> DataFrame:
     """classes(c, held, a, p, n) to (ct, ce, fa, fp, fn): train and held-out classes that share a chunk, and per field the share
     of the longer record's words in shared chunks (the better of both orders); pairs that sketches rule out are left out.
 
@@ -149,7 +149,7 @@ def chunk_pairs(classes: DataFrame, total: int, threshold: float = 0.7, divisor:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            n += np.bincount(_chunks(batch, divisor)[1] & (BUCKETS - 1), minlength=BUCKETS)
+            n += np.bincount(_chunks(batch, divisor, orders)[1] & (BUCKETS - 1), minlength=BUCKETS)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["b", "n"])
 
@@ -161,7 +161,7 @@ def chunk_pairs(classes: DataFrame, total: int, threshold: float = 0.7, divisor:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, digest, kind, size = _chunks(batch, divisor)
+            owner, digest, kind, size = _chunks(batch, divisor, orders)
             keep = ~held_hot.value[digest & (BUCKETS - 1)]
             owner, digest, kind, size = owner[keep], digest[keep], kind[keep], size[keep]
             lens, sketch = _sketches(batch)

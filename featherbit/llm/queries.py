@@ -43,6 +43,22 @@ def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.split_rows(C.cut(_grouped(spark, sf_dir)), "source").select(F.col("id").alias("triplet_id"), "split")
 
 
+@query
+def p3_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every assignment must keep: a split for each row, no unit in two splits, shares within half a per cent or the
+    greatest unit's share."""
+    rows = C.cut(groups.split_rows(C.cut(_grouped(spark, sf_dir)), "source").select("id", "unit", "split"))
+    units = rows.groupBy("unit").agg(F.count_distinct("split").alias("splits"), F.count("*").alias("n"))
+    broken, most = units.agg(F.sum((F.col("splits") > 1).cast("bigint")), F.max("n")).first()
+    n = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}  # three rows
+    total = max(1, sum(n.values()))
+    fine = all(abs(n.get(s, 0) / total - p) <= max(0.005, (most or 0) / total) for s, p in groups.SHARES.items())
+    return spark.createDataFrame([(sum(n.values()), broken or 0, fine)], "n_rows bigint, broken bigint, shares_kept boolean")
+
+
+SQL["p3_properties"] = "SELECT count(DISTINCT triplet_id) AS n_rows, 0::BIGINT AS broken, true AS shares_kept FROM triplets"
+
+
 @query
 def p3_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per split and source, with the split's share of all rows and of the source's."""
@@ -157,10 +173,31 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers, tokens and the share of all space that is used."""
-    packed = p8_containers(spark, sf_dir).where("container_id is not null")
-    each = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
-    return each.agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.round(F.sum("used") / (F.count("*") * 2048), 6).alias("fill"))
+    """Containers, tokens and the share of all space that is used: with batches of one bucket each, and with room lent to others."""
+    sizes = C.cut(bpe.token_counts(C.table(spark, sf_dir, "documents")))
+    out = None
+    for lend in (False, True):
+        packed = packing.pack(sizes, lend=lend).where("container_id is not null")
+        each = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
+        row = each.agg(F.lit(lend).alias("lent"), F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.round(F.sum("used") / (F.count("*") * 2048), 6).alias("fill"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query
+def p8_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every packing must keep: each document once and whole, no container over 2,048, places and starts without gaps."""
+    sizes = C.cut(bpe.token_counts(C.table(spark, sf_dir, "documents")))
+    packed = C.cut(packing.pack(sizes))
+    whole = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"))
+    cut_up = whole.join(sizes.select("doc_id", F.col("n_tokens").alias("due")), "doc_id").agg(
+        F.count("*").alias("n_docs"), F.sum((F.col("n") != F.col("due")).cast("bigint")).alias("not_whole"), F.sum((F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("due") / 2048))).cast("bigint")).alias("needless_cuts"))
+    full = packed.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("n"), F.max("place").alias("last"), F.max(F.col("start") + F.col("n_tokens")).alias("end"))
+    bad = full.agg(F.sum((F.col("used") > 2048).cast("bigint")).alias("overfull"), F.sum(((F.col("last") + 1 != F.col("n")) | (F.col("end") != F.col("used"))).cast("bigint")).alias("gaps"))
+    return cut_up.crossJoin(bad)  # of one row each
+
+
+SQL["p8_properties"] = "SELECT count(*) AS n_docs, 0::BIGINT AS not_whole, 0::BIGINT AS needless_cuts, 0::BIGINT AS overfull, 0::BIGINT AS gaps FROM documents"
 
 
 # 1: clusters of mutually similar vectors
@@ -238,7 +275,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.nearest(_vectors(spark, sf_dir)).withColumnRenamed("id", "word_id").withColumnRenamed("other", "other_id")
+    near = neighbours.nearest(_vectors(spark, sf_dir))
+    return near.select(F.col("id").alias("word_id"), F.col("other").alias("other_id"), F.round("similarity", 6).alias("similarity"), "rank")
 
 
 # 9: subjects of the documents
@@ -281,6 +319,7 @@ SELECT c AS cluster_id, i AS word_id FROM m WHERE c IN (SELECT c FROM m GROUP BY
 SQL["p1_sizes"] = f"""WITH RECURSIVE {_V}, r(i, c) AS (SELECT i, i FROM u UNION SELECT k.b, r.c FROM r JOIN k ON k.a = r.i),
 m AS (SELECT i, min(c) AS c FROM r GROUP BY i) SELECT c AS cluster_id, count(*) AS n_rows FROM m GROUP BY c HAVING count(*) >= 2"""
 SQL["p5_found"] = f"WITH {_V} SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM k) WHERE r <= 5"
+SQL["p5_neighbours"] = f"WITH {_V} SELECT a AS word_id, b AS other_id, round(s, 6) AS similarity, r::INTEGER AS rank FROM (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM k) WHERE r <= 5"
 _T = "t AS (SELECT triplet_id AS id, max_by(anchor, loaded_at) AS anchor, max_by(positive, loaded_at) AS positive, max_by(negative, loaded_at) AS negative, max_by(author_id, loaded_at) AS author, max_by(lower(regexp_replace(split, '\\s+', '', 'g')), loaded_at) AS split FROM triplets GROUP BY triplet_id)"
 _W = r"list_distinct(list_transform(regexp_extract_all(coalesce({}, ''), '[\p{{L}}\p{{N}}]+'), lambda w: lower(w)))"
 _NEAR = "10 * len(list_intersect(x.{0}, y.{0})) >= 7 * (len(x.{0}) + len(y.{0}) - len(list_intersect(x.{0}, y.{0})))"
