@@ -73,6 +73,34 @@ def test_related_groups_and_splits(spark):
     assert groups.related_groups(df.limit(0)).count() == 0 and groups.split_rows(groups.related_groups(df.limit(0), ("source",)), "source").count() == 0
 
 
+def test_hot_nodes_do_not_matter(spark, monkeypatch):
+    """Edges of hot nodes joined by broadcast give the same labels."""
+    rng = random.Random(3)
+    edges = spark.createDataFrame(sorted({(rng.randrange(60), rng.randrange(50)) for _ in range(90)}), "a long, k long")
+    plain = sorted(map(tuple, groups.entity_labels(edges).collect()))
+    monkeypatch.setattr(groups, "_hot", lambda e, by, total: list(range(0, 60, 2)))
+    assert sorted(map(tuple, groups.entity_labels(edges).collect())) == plain
+
+
+def test_chunks_of_a_batch():
+    """Chunks are sets: a changed word leaves all others' cuts; lengths add up to the words."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    w = np.sort(rng.integers(-(2**62), 2**62, 40))
+    sets = [w, np.sort(np.r_[w[:20], w[21:], 12345]), w[:1]]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([1, 2, 1]), *[pa.array([x.tolist() for x in sets])] * 3], names=["c", "held", "a", "p", "n"])
+    owner, digest, kind, size = overlap._chunks(batch, 4, 2)
+    for k in range(6):
+        assert [size[(owner == i) & (kind == k)].sum() for i in range(3)] == [40, 40, 1]
+        mine, other = (set(digest[(owner == i) & (kind == k)]) for i in range(2))
+        assert len(mine - other) <= 3 and len(mine & other) >= 3  # the word taken out touches two, the one put in a third
+    assert len(set(digest[(owner == 0) & (kind == 0)]) & set(digest[(owner == 0) & (kind == 1)])) == 0
+    lens, sketch = overlap._sketches(batch)
+    assert lens.tolist() == [[40] * 3, [40] * 3, [1] * 3] and bin(int(sketch[2, 0]) & (2**64 - 1)).count("1") == 1
+    assert len(overlap._chunks(batch.slice(0, 0), 4, 2)[0]) == 0
+
+
 def test_split_shares(spark):
     rng = np.random.default_rng(0)
     sizes = np.r_[3000, rng.integers(1, 6, 2500)]
@@ -101,8 +129,8 @@ def words(t):
     return set(re.findall(r"[^\W_]+", t.lower())) if t else set()
 
 
-@pytest.mark.parametrize("hot", [0.02, 0.9])
-def test_overlapping_pairs(spark, hot):
+@pytest.mark.parametrize(("hot", "most"), [(0.02, 16_384), (0.9, 3)])
+def test_overlapping_pairs(spark, hot, most):
     rng = random.Random(2)
     vocab = [f"w{i}" for i in range(60)]
     base = [[" ".join(rng.sample(vocab, rng.randint(1, 12))) for _ in range(3)] for _ in range(25)] + [["Same start of all", "boiler plate text here", " ".join(rng.sample(vocab, 6))] for _ in range(10)]
@@ -121,7 +149,10 @@ def test_overlapping_pairs(spark, hot):
     side = lambda s: {"train": 1, "test": 2, "validation": 2}.get((s or "").strip().lower())
     near = lambda x, y: all(a and b and len(words(a) & words(b)) >= 0.7 * len(words(a) | words(b)) - 1e-9 for a, b in zip(x[1:4], y[1:4], strict=True))
     want = {(x[0], y[0]) for x in rows if side(x[4]) == 1 for y in rows if side(y[4]) == 2 and near(x, y)}
-    assert want and {tuple(r) for r in overlap.overlapping_pairs(df, hot=hot).collect()} == want
+    assert want and {tuple(r) for r in overlap.overlapping_pairs(df, hot=hot, most=most).collect()} == want
+    counts = {r["id"]: (r["pairs"], r["by_chunks"]) for r in overlap.overlap_counts(df).collect()}
+    assert {i: n for i, (n, _) in counts.items()} == {i: sum(e == i for _, e in want) for i in {e for _, e in want}}
+    assert all(c <= n for n, c in counts.values()) and sum(c for _, c in counts.values()) > 0.7 * len(want)
     assert overlap.overlapping_pairs(df.limit(0)).count() == 0
     parts = {r["id"]: r for r in overlap.chunk_overlap(df).collect()}
     copies_of = {x[0] for x in rows if side(x[4]) == 2 and any(side(y[4]) == 1 and [*x[1:4]] == [*y[1:4]] for y in rows) and any(words(t) for t in x[1:4])}
@@ -173,6 +204,22 @@ def test_bucket_bounds_are_optimal():
             assert pad(packing.bucket_bounds(x, c, k)) == best
 
 
+def test_few_ratings_do_not_vanish(spark):
+    """A dozen ratings, fewer terms than pass any threshold: every subject is still given, mostly rightly."""
+    rng = random.Random(4)
+    nouns = {"law": ["judge", "court", "appeal", "jury"], "food": ["bread", "soup", "oven", "dough"], "sport": ["goal", "coach", "league", "medal"]}
+    frames = ["without the {} there is no {} says the other", "first came the {} and then the {} was lost", "what counts is the {} and never the {} alone"]
+    docs, truth = [], {}
+    for i in range(240):
+        truth[i] = sorted(nouns)[i % 3]
+        docs.append((i, ". ".join(rng.choice(frames).format(*rng.sample(nouns[truth[i]], 2)) for _ in range(4)) + "."))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, truth[i]) for i in range(0, 240, 20)], "doc_id long, subject string")
+    rows, fitted = subjects.fit(df, labels, sorted(nouns), depth=2)
+    got = [(r["doc_id"], r["subject"]) for r in subjects.assigned(rows, fitted).where("4 * about >= sentences").collect()]
+    assert {s for _, s in got} == set(nouns) and sum(truth[i] == s for i, s in got) >= 0.9 * max(len(truth), len(got))
+
+
 def test_subjects(spark):
     rng = random.Random(0)
     nouns = {"law": ["judge", "court", "appeal", "verdict", "jury"], "food": ["bread", "soup", "oven", "spice", "dough"], "sport": ["goal", "coach", "league", "medal", "relay"], "music": ["chord", "piano", "choir", "tempo", "scale"]}
