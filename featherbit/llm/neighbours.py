@@ -1,52 +1,27 @@
 """Problem 5: the k most similar vectors of every vector.
 
-Multi-index hashing. A rotation learned on a bounded sample (iterative quantisation: alternate between signs and the rotation
-nearest to them; 20,000 vectors at most, by hash order) turns each vector into a binary code of ``bits`` bits, cut into m
-substrings. If two codes differ in at most r bits, then in one of the substrings they differ in at most r // m: so each
-substring is indexed by its value, and probing all values within that distance of the query's substring finds every code
-within the radius. What is found is checked on the whole code, then ranked by the floats in double precision. m is chosen for
-the size of a block so that probes and expected candidates are fewest.
+All pairs of distinct directions are compared in blocks (see ``pairs``): exact, vectors on disk once and never shuffled. A task
+keeps the k best it meets for each vector; once a dense tile has shown k good ones, only better ones are looked at. The lists
+of the tasks are joined by vector. Similarities are in double precision, rounded to 9 decimals.
 
-Physical plan: blocks of the index times blocks of the queries, both by hash of the id, so they are even whatever the data.
-Only codes and sketches go there (a sketch is the unit vector in 16-bit numbers, with the length of its rounding error): the similarity
-from two sketches is off by a known bound, so what can't be among the k best or reach ``least`` is dropped, and nothing else.
-Floats are fetched for the pairs that are left, a few per query. A block is read once per block of the other side: the
-shuffle grows as N^2 / BLOCK with 170 bytes a row; probes are what the radius asks for.
+Until round 2 this was multi-index hashing over 128 learned bits within a radius of 31. Its work per query grew nearly with
+the number of vectors too, cost more from a few thousand vectors on and missed pairs whose codes differ by more.
 
-Accuracy: 128 bits and radius 31 reach 0.97 or more of the true pairs of the test tables; the rest are pairs of low similarity
-whose codes differ by more. Ties go to the smaller id. Unusable vectors (see ``vectors.usable``) take no part; vectors of equal
-direction are searched once and listed by id, whatever k; k larger than the number of vectors gives all; an empty table gives
-an empty result.
+Ties go to the smaller id. Unusable vectors (see ``vectors.usable``) take no part; vectors of equal direction are compared
+once and listed by id, whatever k; k larger than the number of vectors gives all; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import pairs
 from . import vectors as V
 
-SAMPLE, BLOCK = 20_000, 300_000
-
-
-def learn_rotation(x: np.ndarray, bits: int, seed: int = 7, rounds: int = 30) -> np.ndarray:
-    """(dims, bits): for each ``dims`` bits another rotation, moved towards the signs of the sample."""
-    rng = np.random.default_rng(seed)
-    out = []
-    while sum(r.shape[1] for r in out) < bits:
-        r = np.linalg.qr(rng.standard_normal((x.shape[1], x.shape[1])))[0]
-        for _ in range(rounds if len(x) > x.shape[1] else 0):
-            u, _, w = np.linalg.svd(np.sign(x @ r).T @ x)
-            r = (u @ w).T
-        out.append(r)
-    return np.concatenate(out, axis=1)[:, :bits]
+BLOCK = pairs.BLOCK
 
 
 def unit_rows(v: list | np.ndarray) -> np.ndarray:
@@ -54,137 +29,23 @@ def unit_rows(v: list | np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def masks(width: int, weight: int) -> np.ndarray:
-    return np.array([sum(1 << b for b in c) for c in itertools.combinations(range(width), weight)], dtype=np.int64)
-
-
-def cuts(bits: int, radius: int, n: int) -> list[int]:
-    """Bounds of the substrings for an index of n codes: as many as make probes and expected candidates fewest."""
-
-    def cost(m: int) -> float:
-        width = bits / m
-        probes = m * sum(math.comb(math.ceil(width), w) for w in range(radius // m + 1))
-        return probes * (1 + n / 2**width)
-
-    fine = [m for m in range(1, bits + 1) if bits / m <= 24]
-    m = min(fine, key=cost)
-    return [round(bits * j / m) for j in range(m + 1)]
-
-
-def sketches(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unit rows as int16, the factor of each, and the length of what rounding took."""
-    factor = np.abs(x).max(1) / 32767
-    q = np.rint(x / factor[:, None]).astype(np.int16)
-    return q, factor, np.sqrt(((x - q * factor[:, None]) ** 2).sum(1))
-
-
-def search(entries: pd.DataFrame, queries: pd.DataFrame, bits: int, radius: int, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids of queries and entries that may be among each other's k best: codes within the radius, sketches within their bounds."""
-    sides = []
-    for f in (entries, queries):
-        raw = np.frombuffer(b"".join(f["code"]), dtype=np.uint8).reshape(len(f), -1)
-        sides.append((f["c"].to_numpy(), raw, np.frombuffer(b"".join(f["q"]), dtype=np.int16).reshape(len(f), -1), f["factor"].to_numpy(), f["lost"].to_numpy()))
-    (eid, ecode, eq, ef, el), (qid, qcode, qq, qf, ql) = sides
-    bounds = cuts(bits, radius, len(eid))
-    m = len(bounds) - 1
-    reach = radius // m
-    substrings = []
-    for code in (ecode, qcode):
-        flat = np.unpackbits(code, axis=1)[:, :bits]
-        substrings.append(np.stack([flat[:, a:b] @ (1 << np.arange(b - a, dtype=np.int64)) for a, b in itertools.pairwise(bounds)], axis=1).astype(np.int32))
-    esub, qsub = substrings
-    ewide, qwide = ecode.view(np.uint64), qcode.view(np.uint64)
-    index = []
-    for j in range(m):
-        order = np.argsort(esub[:, j], kind="stable").astype(np.int32)
-        width = bounds[j + 1] - bounds[j]
-        probe = np.concatenate([masks(width, w) for w in range(min(reach, width) + 1)])
-        index.append((order, np.searchsorted(esub[order, j], np.arange((1 << width) + 1)), probe))
-    for at in range(0, len(qid), 512):
-        some = np.arange(at, min(at + 512, len(qid)))
-        met = []
-        for j, (order, off, probe) in enumerate(index):
-            p = qsub[some, j].astype(np.int64)[:, None] ^ probe[None, :]
-            start, count = off[p], off[p + 1] - off[p]
-            who, where = np.nonzero(count)
-            start, count = start[who, where], count[who, where]
-            ends, lo = np.cumsum(count), 0
-            while lo < len(who):  # at most four million candidates at once, or those of one probe
-                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 4_000_000, side="right")))
-                n = count[lo:hi]
-                ramp = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                a, c = some[np.repeat(who[lo:hi], n)], order[np.repeat(start[lo:hi], n) + ramp]
-                fits = np.bitwise_count(qwide[a] ^ ewide[c]).sum(1) <= radius
-                a, c = a[fits], c[fits]
-                if j:  # met in an earlier substring
-                    fits = np.bitwise_count(qsub[a, :j] ^ esub[c, :j]).min(1) > reach
-                    a, c = a[fits], c[fits]
-                fits = qid[a] != eid[c]
-                met.append((a[fits], c[fits]))
-                lo = hi
-        a, c = (np.concatenate(y) for y in zip(*met, strict=True)) if met else (np.zeros(0, dtype=int),) * 2
-        s = np.einsum("ij,ij->i", qq[a].astype(np.float64), eq[c].astype(np.float64)) * qf[a] * ef[c]
-        off_by = ql[a] + el[c] * (1 + ql[a]) + 1e-8
-        fine = s + off_by >= least
-        a, c, s, off_by = a[fine], c[fine], s[fine], off_by[fine]
-        order = np.lexsort((off_by - s, a))
-        a, c, s, off_by = a[order], c[order], s[order], off_by[order]
-        first = np.searchsorted(a, a)
-        kth = first + k - 1
-        there = (kth < len(a)) & (a[np.minimum(kth, len(a) - 1)] == a) if len(a) else np.zeros(0, dtype=bool)
-        floor = np.where(there, (s - off_by)[np.minimum(kth, max(0, len(a) - 1))] if len(a) else 0, -2.0)
-        fine = s + off_by >= floor
-        yield qid[a[fine]], eid[c[fine]]
-
-
-def nearest(rows: DataFrame, k: int = 5, least: float = 0.8, bits: int = 128, radius: int = 31) -> DataFrame:
+def nearest(rows: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     """rows(id, v) usable, one per id, to (id, other, similarity, rank): up to k others with at least ``least``."""
-    spark = rows.sparkSession
-    if k < 1 or bits % 64:
-        raise ValueError("k must be 1 or more, bits a multiple of 64")
-    C.ship(spark)
-    dirs, members = V.directions(rows, k + 1)
-    total = dirs.count()
-    sample = dirs.orderBy(F.xxhash64("c")).limit(SAMPLE).select("v").toPandas()["v"] if total else []
-    if not total:
-        return spark.createDataFrame([], "id bigint, other bigint, similarity double, rank int")
-    rotation = learn_rotation(unit_rows(list(sample)), bits)
-
-    def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            x = unit_rows(f["v"])
-            q, factor, lost = sketches(x)
-            packed = np.packbits(x @ rotation > 0, axis=1)
-            yield pd.DataFrame({"c": f["c"], "code": [r.tobytes() for r in packed], "q": [r.tobytes() for r in q], "factor": factor, "lost": lost})
-
-    kinds = "c bigint, code binary, q binary, factor double, lost double"
-    coded = C.cut(dirs.select("c", "v").mapInPandas(code, kinds))
-    tasks = 2 * spark.sparkContext.defaultParallelism
-    ni = math.ceil(total / BLOCK)
-    nq = max(ni, min(math.ceil(tasks / ni), math.ceil(total / 500)))  # small tables: enough blocks for all cores
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    entry = coded.withColumn("i", F.pmod(F.xxhash64("c"), F.lit(ni)).cast("int")).withColumn("b", every(nq)).withColumn("entry", F.lit(True))
-    query = coded.withColumn("b", F.pmod(F.xxhash64("c", F.lit(1)), F.lit(nq)).cast("int")).withColumn("i", every(ni)).withColumn("entry", F.lit(False))
-
-    def block(f: pd.DataFrame) -> pd.DataFrame:
-        got = list(search(f[f["entry"]], f[~f["entry"]], bits, radius, k, least)) if f["entry"].any() else []
-        a, o = (np.concatenate(y) for y in zip(*got, strict=True)) if got else (np.zeros(0, dtype=np.int64),) * 2
-        return pd.DataFrame({"c": a, "o": o})
-
-    met = C.cut(entry.unionByName(query).groupBy("i", "b").applyInPandas(block, "c bigint, o bigint"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double")))
-    known = dirs.select("c", "v", norm.alias("norm"))
-    full = met.join(known.select(F.col("c").alias("o"), F.col("v").alias("w"), F.col("norm").alias("m")), "o").join(known, "c")
-    dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x)
-    scored = full.select("c", "o", F.round(dot / (F.col("norm") * F.col("m")), 9).alias("s")).where(F.col("s") >= least)
+    if k < 1:
+        raise ValueError("k must be 1 or more")
+    C.ship(rows.sparkSession)
+    dirs, members, groups, total = V.distinct(rows, k + 1)
+    met = pairs.meet(pairs.blocks(dirs, total, BLOCK), lambda: pairs.Nearest(least, k), "c bigint, o bigint, s double")
     by = Window.partitionBy("c").orderBy(F.desc("s"), "o")
-    near = scored.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k).select("c", "o", "s")
-    few = dirs.select(F.col("c").alias("o"), "few")
-    own_few = dirs.select("c", F.explode("few").alias("other"), F.lit(1.0).alias("s"))
-    options = near.join(few, "o").select("c", F.explode("few").alias("other"), "s").unionByName(own_few)
+    near = met.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k).select("c", "o", "s")
+    few = groups.select(F.col("c").alias("o"), "few")
+    own_few = groups.select("c", F.explode("few").alias("other"), F.lit(1.0).alias("s"))
+    options = near.join(few, "o", "left").select("c", F.explode(F.coalesce("few", F.array("o"))).alias("other"), "s").unionByName(own_few)
     by = Window.partitionBy("c").orderBy(F.desc("s"), "other")
     best = options.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k + 1)
     # one list of k + 1 per direction: a row itself may stand in it
-    lists = best.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("r", "other", "s"))).alias("l")).join(dirs.select("c", "n"), "c")
-    each = C.heavy_join(members, C.cut(lists), "c", "n").select("id", F.filter("l", lambda x: x["other"] != F.col("id")).alias("l"))
+    lists = C.cut(best.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("r", "other", "s"))).alias("l")).join(groups.select("c", "n"), "c", "left"))
+    alone = lists.where("n is null").select(F.col("c").alias("id"), "l")
+    copied = C.heavy_join(members.select("id", "c"), lists.where("n is not null"), "c", "n").select("id", F.filter("l", lambda x: x["other"] != F.col("id")).alias("l"))
+    each = alone.unionByName(copied)
     return each.select("id", F.posexplode(F.slice("l", 1, k)).alias("rank", "x")).select("id", F.col("x.other").alias("other"), F.col("x.s").alias("similarity"), (F.col("rank") + 1).alias("rank"))

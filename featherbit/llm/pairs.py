@@ -41,9 +41,9 @@ class Side:
         self.z = np.concatenate([turned, rest], axis=1).astype(np.float32)
 
 
-def blocks(dirs: DataFrame, total: int) -> DataFrame:
-    """dirs(c, v) in rows (b, c, v) of many, stored. Small tables get blocks enough for all cores."""
-    most = min(BLOCK, max(LEAST_BLOCK, -(-total // (2 * dirs.sparkSession.sparkContext.defaultParallelism))))
+def blocks(dirs: DataFrame, total: int, most: int | None = None) -> DataFrame:
+    """dirs(c, v) in rows (b, c, v) of up to ``most``, stored. Small tables get blocks enough for all cores."""
+    most = min(most or BLOCK, max(LEAST_BLOCK, -(-total // (2 * dirs.sparkSession.sparkContext.defaultParallelism))))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, vectors, n = itertools.count(TaskContext.get().partitionId() << 24), [], [], 0
@@ -195,8 +195,8 @@ class Nearest:
             return (s >= own[:, None]) | (s >= other[None, :])
 
         for a, b, s in tiles(l, r, self.least, None, pruned):
-            open_ = (s >= lo[a]) | (s >= ro[b])
-            a, b = a[open_], b[open_]
+            may = (s >= lo[a]) | (s >= ro[b])
+            a, b = a[may], b[may]
             s = similarity(l, r, a, b)
             for ids, others, floor, i, j in ((l, r, lo, a, b), (r, l, ro, b, a)):
                 fine = (s >= self.least) & (s >= floor[i])

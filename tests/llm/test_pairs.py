@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from featherbit.functions import planning
-from featherbit.llm import clusters, pairs, vectors
+from featherbit.llm import clusters, neighbours, pairs, vectors
 
 
 def frame(spark, x, first=0):
@@ -60,3 +60,22 @@ def test_clusters_take_little_disk(spark):
     before = size()
     assert clusters.cluster_members(frame(spark, x)).count() >= 200
     assert size() - before < 4 * x.nbytes
+
+
+@pytest.mark.parametrize("block, tile", [(8192, 1024), (64, 16), (50, 13)])
+def test_neighbours_are_those_of_all_pairs(spark, monkeypatch, block, tile):
+    """All of them with their similarities and ranks, ties by id, also links just over 0.8 and in dense tiles."""
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    monkeypatch.setattr(pairs, "TILE", tile)
+    x = mixed(block)
+    rng = np.random.default_rng(3)
+    base = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    far = [0.8001 * base[0] + np.sqrt(1 - 0.8001**2) * d for d in base[1:]]  # 63 vectors barely linked with one
+    x = np.concatenate([x, [base[0]], far]).astype(np.float32)
+    s = truth(x)
+    want = {}
+    for i in range(len(x)):
+        best = [j for j in np.lexsort((np.arange(len(x)), -s[i])) if s[i, j] >= 0.8][:5]
+        want |= {(i, int(j), n + 1): s[i, j] for n, j in enumerate(best)}
+    got = {(r["id"], r["other"], r["rank"]): r["similarity"] for r in neighbours.nearest(frame(spark, x)).collect()}
+    assert got.keys() == want.keys() and max(abs(got[y] - want[y]) for y in want) < 1e-8
