@@ -79,3 +79,14 @@ def test_neighbours_are_those_of_all_pairs(spark, monkeypatch, block, tile):
         want |= {(i, int(j), n + 1): s[i, j] for n, j in enumerate(best)}
     got = {(r["id"], r["other"], r["rank"]): r["similarity"] for r in neighbours.nearest(frame(spark, x)).collect()}
     assert got.keys() == want.keys() and max(abs(got[y] - want[y]) for y in want) < 1e-8
+
+
+def test_pairs_just_over_the_threshold_are_found(spark):
+    """400 pairs of random directions at a cosine of 0.8001, which binary codes within a radius miss in part."""
+    rng = np.random.default_rng(9)
+    u, d = rng.standard_normal((2, 400, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    d -= (d * u).sum(1, keepdims=True) * u
+    x = np.concatenate([u, 0.8001 * u + 0.5999 * d / np.linalg.norm(d, axis=1, keepdims=True)]).astype(np.float32)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(truth(x) >= 0.8), strict=True)}
+    assert len(want) == 800 and {(r["id"], r["other"]) for r in neighbours.nearest(frame(spark, x)).collect()} == want
